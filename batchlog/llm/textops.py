@@ -94,7 +94,7 @@ class Slice:
     ``first[i]:first[i+1]``; ``start``/``end`` are byte places in ``data``.
     """
 
-    __slots__ = ("data", "rows", "first", "start", "end", "hash", "doc")
+    __slots__ = ("data", "rows", "first", "start", "end", "hash", "doc", "_sums")
 
     def __init__(self, data, rows, bounds, splitter: Splitter):
         self.data, self.rows = data, rows
@@ -115,9 +115,16 @@ class Slice:
         sums[0] = 0
         np.cumsum(splitter.value[data] * up[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        self._sums = sums
         self.first = np.searchsorted(self.start, bounds)
         self.doc = np.repeat(np.arange(len(rows)), np.diff(self.first))
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than ``size`` bytes, and hashes of their first ``size`` bytes."""
+        long = np.flatnonzero(self.end - self.start > size)
+        begin = self.start[long]
+        return long, mix((self._sums[begin + size] - self._sums[begin]) * _BYTES.down[begin] + U64(size << 32))
+
     def runs(self, k: int) -> np.ndarray:
         """Hashes of all runs of k words of the slice (also across documents; see ``whole``)."""
         return runs_of(self.hash, k)

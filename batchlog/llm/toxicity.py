@@ -2,12 +2,13 @@
 
 Severity has grades 0 (not toxic) to ``GRADES - 1``.  One weight vector is
 shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k), with ordered
-theta.  x is sparse: log(1 + count) of the words of a learned vocabulary.  The
+theta.  x is sparse: log(1 + count) of the words, and beginnings of words, of a
+learned vocabulary.  The
 result is the expected grade, the sum of these probabilities.
 
-Labels are 0 or 1.  A labelled toxic text's grade is graded further by how
-dense the vocabulary's toxic words are in it: above the median of the toxic
-texts it is 2, else 1.
+Labels are 0 or 1.  A labelled toxic text is graded further by how much it
+holds: with more occurrences of the learned vocabulary than the median toxic
+text its grade is 2, else 1.
 
 Fitting uses at most ``sample`` labelled rows (those with the smallest hash of
 their id), so that the driver holds a bounded matrix; scoring covers all rows.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from . import textops
 
 GRADES = 3
+#: Lengths in bytes of the word beginnings that are features, so that inflected words share weights.
+BEGINNINGS = (4, 5, 6)
 SCORES = "doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean"
 
 
@@ -45,34 +48,61 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - z[:, None], -40, 40)))
 
 
-def word_counts(s: textops.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each document of a slice: document, word, count."""
-    order = np.lexsort((s.hash, s.doc))
-    doc, word = s.doc[order], s.hash[order]
+def features(s: textops.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """All feature occurrences of a slice, as (document, hash): words, and the beginnings of longer words."""
+    docs, hashes = [s.doc], [s.hash]
+    for size in BEGINNINGS:
+        at, h = s.beginnings(size)
+        docs.append(s.doc[at])
+        hashes.append(h)
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def feature_counts(s: textops.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features of each document of a slice: document, feature, count."""
+    doc, word = features(s)
+    order = np.lexsort((word, doc))
+    doc, word = doc[order], word[order]
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
     return doc[new], word[new], np.diff(np.append(new, len(doc)))
 
 
+def logits(texts: pa.Array, m: Model) -> np.ndarray:
+    """w.x of every whole text."""
+    z = np.zeros(len(texts))
+    for s in textops.slices(texts, textops.ALNUM_FOLDED):
+        if len(m.words):
+            doc, word = features(s)
+            key = np.minimum(np.searchsorted(m.words, word), len(m.words) - 1)
+            hit = np.flatnonzero(m.words[key] == word)
+            pair, n = np.unique(doc[hit] * len(m.words) + key[hit], return_counts=True)
+            z[s.rows] = np.bincount(pair // len(m.words), np.log1p(n) * m.weights[pair % len(m.words)], len(s.rows))
+    return z
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(2).to_numpy(zero_copy_only=False)
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for s in textops.slices(batch.column(1), textops.ALNUM_FOLDED):
-            doc, word, n = word_counts(s)
+            doc, word, n = feature_counts(s)
             row = s.rows[doc]
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(toxic[row]), pa.array(word.view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "toxic", "word", "n"])
 
 
-def vocabulary(words: DataFrame, size: int, min_docs: int) -> DataFrame:
-    """The words whose share among toxic texts differs most from chance (a signed z-score), over all sampled rows."""
+def vocabulary(words: DataFrame, size: int, min_docs: int, least_z: float = 5.0) -> DataFrame:
+    """The features that toxic texts hold far more often than chance (a z-score and a share), over all sampled rows.
+
+    Features that speak against toxicity are left out: they come with length, and long texts would drown what is in them.
+    """
     totals = words.groupBy("doc_id").agg(F.first("toxic").alias("toxic")).agg(F.count("*").alias("docs"), F.avg("toxic").alias("share")).first()
     share = float(totals.share or 0.0)
     per_word = words.groupBy("word").agg(F.count("*").alias("docs"), F.sum("toxic").alias("toxic")).filter(F.col("docs") >= min_docs)
     z = (F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * max(share * (1 - share), 1e-9))
-    return per_word.select("word", z.alias("z")).orderBy(F.desc(F.abs(z)), "word").limit(size)
+    return per_word.select("word", z.alias("z"), (F.col("toxic") / F.col("docs")).alias("lift")).filter((F.col("z") >= least_z) & (F.col("lift") >= min(0.5, 4 * share))).select("word", "z").orderBy(F.desc("z"), "word").limit(size)
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, size: int, steps: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds, by Adam on the mean log likelihood; x is given as triplets."""
     n, k = len(grade), GRADES - 1
     share = np.clip([(grade > j).mean() if n else 0.0 for j in range(k)], 1e-4, 1 - 1e-4)
@@ -105,34 +135,31 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
     return p[:size], p[size] + np.concatenate([[0], np.cumsum(np.exp(p[size + 1 :]))])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, size: int = 4096, min_docs: int = 8) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, size: int = 4096, min_docs: int = 8) -> Model:
     """Learns from at most ``sample`` labelled rows of (doc_id, toxic)."""
     spark = documents.sparkSession
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    graded = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` pairs of numbers are broadcast.
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_words, "doc_id long, toxic int, word long, n int")
     rows = rows.persist()
     try:
         top = vocabulary(rows, size, min_docs)
-        z = {r.word: r.z for r in top.collect()}
-        words = np.sort(np.array(list(z), np.int64).view(np.uint64))
-        if not len(z):
+        words = np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
+        if not len(words):
             return Model(words, np.zeros(0), np.array([6.0, 8.0]))
-        lengths = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.sum("n").alias("words")).toArrow()
+        known = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic")).toArrow()
         chosen = rows.join(F.broadcast(spark.createDataFrame(pa.table({"word": words.view(np.int64)}))), "word").select("doc_id", "word", "n").toArrow()
     finally:
         rows.unpersist()
-    ids, order = lengths["doc_id"].to_numpy(), None
-    order = np.argsort(ids)
-    ids, toxic, n_words = ids[order], lengths["toxic"].to_numpy()[order], lengths["words"].to_numpy()[order]
+    order = np.argsort(known["doc_id"].to_numpy())
+    ids, toxic = known["doc_id"].to_numpy()[order], known["toxic"].to_numpy()[order]
     row = np.searchsorted(ids, chosen["doc_id"].to_numpy())
     col = np.searchsorted(words, chosen["word"].to_numpy().view(np.uint64))
     value = np.log1p(chosen["n"].to_numpy())
-    strong = np.array([z[w] > 3 for w in words.view(np.int64).tolist()])
-    density = np.bincount(row, strong[col] * chosen["n"].to_numpy(), len(ids)) / np.maximum(n_words, 1)
-    middle = np.median(density[toxic == 1]) if (toxic == 1).any() else 0.0
-    grade = np.where(toxic == 1, np.where(density > middle, 2, 1), 0)
+    held = np.bincount(row, chosen["n"].to_numpy(), len(ids))
+    middle = np.median(held[toxic == 1]) if (toxic == 1).any() else 0.0
+    grade = np.where(toxic == 1, np.where(held > middle, 2, 1), 0)
     order = np.lexsort((col, row))  # sums in one order on every run
     weights, theta = fit_ordinal(row[order], col[order], value[order], grade, len(words))
     return Model(words, weights, theta)
@@ -145,13 +172,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            z = np.zeros(batch.num_rows)
-            for s in textops.slices(batch.column(1), textops.ALNUM_FOLDED):
-                if len(m.words):
-                    key = np.minimum(np.searchsorted(m.words, s.hash), len(m.words) - 1)
-                    hit = np.flatnonzero(m.words[key] == s.hash)
-                    pair, n = np.unique(s.doc[hit] * len(m.words) + key[hit], return_counts=True)
-                    z[s.rows] = np.bincount(pair // len(m.words), np.log1p(n) * m.weights[pair % len(m.words)], len(s.rows))
+            z = logits(batch.column(1), m)
             above = m.above(z)
             full = np.hstack([np.ones((len(z), 1)), above, np.zeros((len(z), 1))])
             grade = (full[:, :-1] - full[:, 1:]).argmax(axis=1)
@@ -172,13 +193,7 @@ def clean(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            z = np.zeros(batch.num_rows)
-            for s in textops.slices(batch.column(at), textops.ALNUM_FOLDED):
-                if len(m.words):
-                    key = np.minimum(np.searchsorted(m.words, s.hash), len(m.words) - 1)
-                    hit = np.flatnonzero(m.words[key] == s.hash)
-                    pair, n = np.unique(s.doc[hit] * len(m.words) + key[hit], return_counts=True)
-                    z[s.rows] = np.bincount(pair // len(m.words), np.log1p(n) * m.weights[pair % len(m.words)], len(s.rows))
+            z = logits(batch.column(at), m)
             yield batch.filter(pa.array(m.above(z)[:, 0] < threshold))
 
     return documents.mapInArrow(keep, documents.schema)
