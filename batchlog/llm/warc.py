@@ -9,15 +9,16 @@ deduplicated archives are written with fresh headers.
 Archives are written by Spark's text writer: each row is one record, and the
 line separator is the two line breaks that end a WARC record.
 
-Defined cases: a null payload is empty; a null page id gets a record of its
-own but is never the original (if all are null, one record without refers_to
-is the response); repeated rows give a record each, of which all but one with
-equal payloads are revisits that refer to the same id; an empty table gives no
-records; other columns are ignored.
+Defined cases: a null payload is empty; a row with a null page id gets a record
+and is the original only where no equal payload has an id (revisits then refer
+to null); repeated rows give a record each, of which one is the original and
+the others revisit it; an empty table gives no records; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,37 +43,38 @@ def _header(name: str, value: Column) -> Column:
 
 
 def write_archives(records: DataFrame, path: str, max_records: int = 20_000) -> None:
-    """Writes rows of (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) as WARC files.
+    """Writes rows of (record_id, page_id, url, record_type, refers_to, refers_to_id, payload_bytes, payload_digest, payload) as WARC files.
 
     A revisit record has no payload.  Its length and digest headers are those of the full payload.
     """
     body = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.coalesce("payload", F.lit("").cast("binary")))
-    rid = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")))
+    rid = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:record:"), c, F.lit(">")))
     url = F.regexp_replace(F.col("url"), r"[\r\n]", "")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\n"),
-        _header("WARC-Record-ID", F.coalesce(rid(F.col("page_id")), F.lit("<urn:page:unknown>"))),
+        _header("WARC-Record-ID", rid(F.col("record_id"))),
         _header("WARC-Target-URI", url),
-        _header("WARC-Refers-To", rid(F.col("refers_to"))),
+        _header("WARC-Refers-To", rid(F.col("refers_to_id"))),
         _header("WARC-Profile", F.when(F.col("record_type") == "revisit", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        _header("X-Page", F.col("page_id")),
+        _header("X-Refers-To-Page", F.col("refers_to")),
         _header("X-Payload-Length", F.col("payload_bytes")),
         F.lit("Content-Type: application/octet-stream\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    records.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max_records).text(path)
+    records.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple]:
     """The records of an archive, by their Content-Length."""
-    at, number = 0, lambda x: int(x) if x not in (None, "unknown") else None
+    at, number = 0, lambda x: None if x is None else int(x)
     while (at := content.find(b"WARC/1.1\r\n", at)) >= 0:
         body = content.index(b"\r\n\r\n", at) + 4
         head = dict(line.split(": ", 1) for line in content[at:body].decode().split("\r\n")[1:] if line)
         size = int(head["Content-Length"])
-        page = lambda v: number(v[len("<urn:page:") : -1]) if v else None
         yield (
-            page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], page(head.get("WARC-Refers-To")), int(head["X-Payload-Length"]),
-            head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Record-ID"], content[body : body + size],
+            number(head.get("X-Page")), head.get("WARC-Target-URI"), head["WARC-Type"], number(head.get("X-Refers-To-Page")), int(head["X-Payload-Length"]),
+            head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Record-ID"][len("<urn:record:") : -1], content[body : body + size],
         )
         at = body + size + len(END)
 
@@ -84,7 +86,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for r in parse(content.as_py()):
+                for r in parse(gzip.decompress(content.as_py())):
                     rows.append(r if with_payload else (*r[:-1], None))
                     if len(rows) == 512:
                         yield _batch(rows)
@@ -102,39 +104,40 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """For each record header (page_id, payload_digest, payload_bytes): its type, and what it refers to.
+    """For each record header (record_id, page_id, payload_digest, payload_bytes): its type, and what it refers to.
 
     A digest's originals come from an aggregate that is combined before the
     shuffle; the join back has one row per digest on its side, so a digest with
     many records can be split.
     """
     big = F.col("payload_bytes") >= least_bytes
-    originals = headers.filter(big).groupBy("payload_digest").agg(F.min("page_id").alias("original"))
-    joined = headers.join(originals, "payload_digest", "left")
-    revisit = big & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return joined.select("page_id", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
+    # Null page ids come last; equal ones by record.
+    first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "record_id")).alias("first")
+    originals = headers.filter(big).groupBy("payload_digest").agg(first)
+    revisit = big & (F.col("first.record_id") != F.col("record_id"))
+    return headers.join(originals, "payload_digest", "left").select(
+        "record_id",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("first.record_id")).alias("refers_to_id"),
+    )
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Writes raw and then deduplicated archives under ``path``, and reads the latter back (headers and payloads)."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    raw = pages.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.length(payload).cast("long").alias("payload_bytes"), payload_digest(payload).alias("payload_digest"), payload.alias("payload"))
-    write_archives(raw, f"{path}/raw")
-    records = read_archives(spark, f"{path}/raw")
-    kept = resolve(records.select("page_id", "payload_digest", "payload_bytes"), least_bytes)
-    # Repeated rows of one id meet by their number within the id.
-    numbered = lambda df, *by: df.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy(*by)))
-    types = numbered(kept, "payload_digest", "payload_bytes").alias("k")
-    full = numbered(records.select("page_id", "url", "payload_digest", "payload_bytes", "payload"), "payload_digest", "payload_bytes").alias("r")
-    fresh = full.join(types, F.col("r.page_id").eqNullSafe(F.col("k.page_id")) & (F.col("r.copy") == F.col("k.copy")))
-    # Of repeated rows with the original's id and payload, the first is the response.
-    again = (F.col("k.record_type") == "response") & (F.col("k.payload_bytes") >= least_bytes) & F.col("k.page_id").isNotNull() & (F.col("nth") > 1)
-    fresh = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("r.page_id", "r.payload_digest").orderBy("r.copy")))
     write_archives(
-        fresh.select("r.page_id", "r.url", F.when(again, "revisit").otherwise(F.col("k.record_type")).alias("record_type"), F.when(again, F.col("k.page_id")).otherwise(F.col("k.refers_to")).alias("refers_to"), "r.payload_bytes", "r.payload_digest", "r.payload"),
-        f"{path}/deduplicated",
-    )
+        # The record number is fixed once it is written.
+        pages.select("page_id", "url", payload.alias("payload")).select(
+            F.monotonically_increasing_id().cast("string").alias("record_id"), "page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_id"),
+            F.length("payload").cast("long").alias("payload_bytes"), payload_digest(F.col("payload")).alias("payload_digest"), "payload",
+        ),
+        f"{path}/raw",
+    )
+    headers = read_archives(spark, f"{path}/raw", with_payload=False).select("record_id", "page_id", "payload_digest", "payload_bytes")
+    records = read_archives(spark, f"{path}/raw").select("record_id", "page_id", "url", "payload_bytes", "payload_digest", "payload")
+    write_archives(records.join(resolve(headers, least_bytes), "record_id"), f"{path}/deduplicated")
     return read_archives(spark, f"{path}/deduplicated")
 
 
