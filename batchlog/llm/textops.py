@@ -91,13 +91,14 @@ class Slice:
     """The words of a few whole documents.
 
     ``rows`` are their places in the batch; document ``i`` has the words
-    ``first[i]:first[i+1]``; ``start``/``end`` are byte places in ``data``.
+    ``first[i]:first[i+1]`` and the bytes ``bounds[i]:bounds[i+1]`` of ``data``;
+    ``start``/``end`` are places in ``data``.
     """
 
-    __slots__ = ("data", "rows", "first", "start", "end", "hash", "doc", "_sums")
+    __slots__ = ("data", "rows", "first", "start", "end", "hash", "doc", "bounds", "_sums")
 
     def __init__(self, data, rows, bounds, splitter: Splitter):
-        self.data, self.rows = data, rows
+        self.data, self.rows, self.bounds = data, rows, bounds
         n = len(data)
         inside = np.zeros(n + 2, np.int8)
         inside[1:-1] = splitter.is_word[data]
@@ -147,6 +148,15 @@ def runs_of(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + U64(k))
 
 
+def spans_of(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from lo up to hi."""
+    up, down = _WORDS.need(len(words) + 1)
+    sums = np.empty(len(words) + 1, U64)
+    sums[0] = 0
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U64))
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls have no bytes."""
     if isinstance(texts, pa.ChunkedArray):
