@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import automaton, neighbours, packing, quality, suffixes, toxicity, urls, warc
+from . import automaton, minhash, neighbours, packing, quality, suffixes, toxicity, urls, warc
 
 #: The listed rules of op2: verdict, and host with path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -32,6 +32,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256", "removal.spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_substring_dedup, op5_warc, op6_toxicity, op7_packing, op8_quality, op9_neighbours, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_substring_dedup, op4_near_duplicates, op5_warc, op6_toxicity, op7_packing, op8_quality, op9_neighbours, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
