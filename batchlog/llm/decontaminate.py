@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +163,12 @@ def verdict(n_words: int, n_hit: int, items: list[str]) -> tuple:
     return n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, items
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+    """The documents that are not contaminated, with all their columns (several blocks: judged by id)."""
+    return decontaminate(documents, benchmark, width, shingle, block_bytes, keep_rows=True)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, block_bytes: int = 16 << 20, keep_rows: bool = False) -> DataFrame:
     """One row per document: how many words benchmark windows hit, and which items have occurring windows."""
     spark = documents.sparkSession
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
@@ -206,12 +212,23 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
                 yield pa.RecordBatch.from_arrays(head + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], head_names + names)
 
         docs = documents.select("doc_id", "text")
+        if n_blocks == 1 and keep_rows:
+            id_at, text_at = documents.columns.index("doc_id"), documents.columns.index("text")
+
+            def sift(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    pair = pa.RecordBatch.from_arrays([batch.column(id_at), batch.column(text_at)], ["doc_id", "text"])
+                    for found in scan(iter([pair])):
+                        yield batch.filter(pa.compute.invert(found.column(5)))
+
+            return documents.mapInArrow(sift, documents.schema)
         if n_blocks == 1:
             return docs.mapInArrow(scan, SCHEMA)
         parts.append(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(scan, _PARTS))
     for p in parts:
         out = p if out is None else out.unionByName(p)
-    return _merge(documents, out)
+    merged = _merge(documents, out)
+    return documents.join(merged.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(documents.columns) if keep_rows else merged
 
 
 def _merge(documents: DataFrame, parts: DataFrame) -> DataFrame:

@@ -258,3 +258,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     linkable = F.col("n_shingles") > 0
     component = F.when(linkable & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents of smallest id in their classes, with all columns; rows that share an id stay or go together."""
+    gone = near_duplicates(documents, percent).filter("not kept").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)

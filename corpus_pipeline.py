@@ -1,13 +1,59 @@
-"""A corpus pipeline: stages that each take and give a table of documents."""
+"""A corpus pipeline: five stages, each of which takes and gives a table of documents.
+
+Toxic documents go; of near duplicates the smallest id stays; passages that
+came earlier are cut; documents contaminated by the benchmark go; what is left
+is packed into sequences.  Each stage's result is written to the shared folder
+and read again, so a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from batchlog.llm import decontaminate, minhash, packing, suffixes, toxicity
+from batchlog.llm.shared import written
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(docs)
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which nothing is left go; n_chars follows the text."""
+    cut = suffixes.remove_passages(docs)
+    left = cut.filter("removal.n_removed = 0 or removal.n_removed < removal.n_words")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("removal.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(docs.columns)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).drop("ids", "padding")
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("suffix_dedup", remove_passages),
+    ("decontamination", remove_contaminated),
+    ("packing", pack),
+]
+
+#: A fitted model, components and a tokenizer are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
