@@ -16,9 +16,9 @@ words as one).  Documents are linked where intersection / union reaches
    those that collide by chance, lies far below the threshold is dropped; the
    others are verified on their full sets.
 5. Linked pairs form components.  Buckets that still hold several components,
-   and more members than the pairs tested there, are searched again, now for all
-   members of different components whose estimate allows a link, block by block
-   and without those tested before.  So no link is lost to the choice of pairs.
+   and more members than the pairs tested there, are searched again, block by
+   block within tasks, for links between members of different components.  So
+   no link is lost to the choice of pairs, and no pairs are written out.
 
 Defined cases: null and empty texts, and those of white space, have empty sets
 and are linked with nothing; a null id is linked with nothing and keeps its row
@@ -113,7 +113,7 @@ def described(documents: DataFrame) -> DataFrame:
 
 
 def buckets(sketches: DataFrame) -> DataFrame:
-    """(bucket, id) for each band of each sketch."""
+    """(bucket, band, id) for each band of each sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +124,10 @@ def buckets(sketches: DataFrame) -> DataFrame:
             for j in range(1, ROWS):
                 packed = packed << textops.U64(16) | own[:, :, j]
             mixed = textops.mix(packed ^ textops.mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "id"])
+            band = np.tile(np.arange(BANDS, dtype=np.int8), len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "band", "id"])
 
-    return sketches.select("id", "registers").mapInArrow(run, "bucket long, id long")
+    return sketches.select("id", "registers").mapInArrow(run, "bucket long, band byte, id long")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -186,43 +187,56 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose estimate allows a link.
+def across(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between different components in one bucket, as many as join them and no more.
 
-    ``members``: (bucket, id, root, registers, n).  A bucket is cut into blocks
-    of about ``block`` members and each pair of blocks meets in a task, so that
-    no task holds a whole bucket.
+    ``members``: (bucket, band, id, root, registers, own).  A bucket is cut into
+    blocks of about ``block`` members and each pair of blocks meets in a task,
+    so that no task holds a whole bucket.  Pairs stay in the task: they are
+    estimated from registers, then verified on full sets, each in the first
+    band that its two members share.
     """
     per = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(per, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "root", "registers", "n")
+    dealt = members.join(per, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "id", "root", "registers", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, key, held = least_estimate(percent), None, []
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            own, ids, roots, raw, n = (np.array(c) if i != 3 else c for i, c in enumerate(zip(*held, strict=True)))
+        def links() -> Iterator[tuple[int, int]]:
+            blocks, bands, ids, roots, raw, sets_ = zip(*held, strict=True)
+            blocks, own = np.array(blocks), [np.frombuffer(x, np.uint64) for x in sets_]
             regs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, REGISTERS)
-            for i in range(len(ids)):
-                rest = slice(i + 1, None)
-                other = np.flatnonzero((roots[rest] != roots[i]) & ((own[rest] != own[i]) | (key[1] == key[2]))) + i + 1
-                if len(other):
-                    other = other[estimate(regs[other], regs[i], n[other], n[i]) >= least]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[other], ids[i])), pa.array(np.minimum(ids[other], ids[i]))], ["a", "b"])
+            n = np.array([len(x) for x in own], float)
+            _, roots = np.unique(roots, return_inverse=True)
+            for i in range(len(ids) - 1):
+                other = np.arange(i + 1, len(ids))
+                other = other[(roots[other] != roots[i]) & ((blocks[other] != blocks[i]) | (key[1] == key[2]))]
+                if not len(other):
+                    continue
+                same = regs[other] == regs[i]
+                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == bands[i]
+                other = other[first & (estimate(regs[other], regs[i], n[other], n[i]) >= least)]
+                for j in other.tolist():
+                    if roots[j] != roots[i] and linked(own[i], own[j], percent):
+                        roots[roots == roots[j]] = roots[i]
+                        yield ids[i], ids[j]
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (out := list(links())):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
         for batch in batches:
             for bucket, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, lo, hi) != key:
-                    if len(held) > 1:
-                        yield from pairs()
+                    yield from found()
                     key, held = (bucket, lo, hi), []
                 held.append(row)
-        if len(held) > 1:
-            yield from pairs()
+        yield from found()
 
     rows = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,8 +248,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches = classes.select("id", "registers", "n").dropDuplicates(["id"])
 
     banded = buckets(classes)
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1")
-    crowded = written(banded.join(shared, "bucket").select("bucket", "id", "b", "size"), "buckets")
+    # Written, so that the join has a plain shuffle on either side and Spark can split large buckets.
+    shared = written(banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1"), "buckets-shared")
+    crowded = written(banded.join(shared, "bucket").select("bucket", "band", "id", "b", "size"), "buckets")
     pairs = written(plausible(crowded.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), sketches, percent), "pairs")
     known = written(full_sets(documents, crowded.filter("size > 2").select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()), "sets")
     links = written(verified(pairs, known, percent), "links-verified")
@@ -244,9 +259,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Buckets of two were tested in full.  In others, pairs without the smallest id were not.
     rooted = crowded.filter("size > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("bucket")
-    members = rooted.join(mixed, "bucket").join(sketches, "id").select("bucket", "id", "root", "registers", "n")
-    more = written(across(members, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
-    further = written(verified(more, known, percent), "links-across")
+    members = rooted.join(mixed, "bucket").join(sketches, "id").join(known, "id").select("bucket", "band", "id", "root", "registers", "own")
+    further = written(across(members, percent), "links-across")
     if further.isEmpty():
         roots = first
     else:
