@@ -14,8 +14,11 @@ id, or earlier in the same one) is removed; windows are judged on the input.
    first of them are removed whole, and only the first goes on.
 4. First occurrences that share an anchor but not the context are compared by
    a matcher (see automaton.py and suffixes.py) in tasks dealt by anchor.  An
-   anchor with over ``limit`` contexts is too large for that; its windows are
-   aggregated one by one instead, which no single anchor can overload.
+   anchor with over ``limit`` contexts is bisected: of its windows, one half has
+   so many words to the right in common, the other so many to the left, so
+   contexts are dealt by longer anchors for either half.  This is repeated where
+   needed; what is over ``limit`` at last are equal windows, which an aggregate
+   combines before the shuffle.  So no key is too large for a task.
 5. Every document gathers its removed places and is cut.
 
 Ids of documents should be unique.  Rows that agree in id and text are one
@@ -101,21 +104,46 @@ def contexts(joined: DataFrame, length: int, grain: int) -> DataFrame:
     return joined.mapInArrow(run, CONTEXT)
 
 
-def window_spans(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of the contexts of frequent anchors: each window is aggregated by its hash, combined before the shuffle."""
+def halves(rows: DataFrame, length: int, grain: int) -> DataFrame:
+    """Contexts of groups whose windows have ``lo`` to ``hi`` words left of the anchor, by half of that range.
+
+    The new key is a hash of what all windows of a half have: the anchor with
+    the least words to either side.  Contexts too short for a half leave it.
+    """
+    margin = length - grain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, place, left = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            left, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 5, 6))
             for s in textops.slices(batch.column(4).cast(pa.string()), textops.SPACED):
-                w, at = s.runs(length), np.flatnonzero(s.whole(length))
-                row = s.rows[s.doc[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(doc[row]), pa.array(place[row] - left[row] + (at - s.first[s.doc[at]]))], ["w", "doc", "place"])
-
-    windows = rows.mapInArrow(run, "w long, doc long, place long")
-    first = windows.groupBy("w").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = F.struct("doc", "place") > F.col("first")
-    return windows.join(first, "w").filter(later).select("doc", "place", F.lit(length).alias("size"))
+                at = s.first[:-1] + left[s.rows]
+                middle = (lo[s.rows] + hi[s.rows]) // 2
+                for a, b, some in ((lo[s.rows], middle, middle >= lo[s.rows]), (middle + 1, hi[s.rows], middle < hi[s.rows])):
+                    begin, end = at - a, at + grain + margin - b
+                    ok = some & (begin >= s.first[:-1]) & (end <= s.first[1:])
+                    key = textops.mix(textops.spans_of(s.hash, begin[ok], end[ok]) + textops.U64(1009) * a[ok].astype(np.uint64))
+                    own = batch.take(pa.array(s.rows[ok]))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own.columns[1:5], pa.array(a[ok].astype(np.int32)), pa.array(b[ok].astype(np.int32))], batch.schema.names)
+
+    return rows.mapInArrow(run, CONTEXT + ", lo int, hi int")
+
+
+def bisected(hot: DataFrame, length: int, grain: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups of contexts of ``limit`` at most, and the spans of equal windows that are more."""
+    names, groups, spans = hot.columns, [], []
+    rows = hot.withColumns({"lo": F.lit(0), "hi": F.lit(length - grain)})
+    for _ in range((length - grain).bit_length() + 1):
+        rows = written(halves(rows, length, grain), "contexts")
+        sized = rows.join(written(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "context-groups"), "h")
+        groups.append(sized.filter(F.col("n") <= limit).select(names))
+        rows = sized.filter(F.col("n") > limit).drop("n")
+        if rows.isEmpty():
+            break
+        windows = rows.filter("lo = hi").select("h", "doc", (F.col("place") - F.col("lo")).alias("place"))
+        first = windows.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"))
+        spans.append(windows.join(first, "h").filter(F.struct("doc", "place") > F.col("first")).select("doc", "place", F.lit(length).alias("size")))
+        rows = rows.filter("lo < hi")
+    return groups, spans
 
 
 Matcher = Callable[[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]], int], Iterator[tuple[int, int, int]]]
@@ -144,10 +172,11 @@ def _joined(parts: list[pa.RecordBatch]) -> tuple:
     return np.concatenate(cols[0]), np.concatenate(cols[1]), np.concatenate(cols[2]), [w for ws in cols[3] for w in ws]
 
 
-def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
+def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int) -> tuple[DataFrame, DataFrame]:
     """Documents with keys, and by document what to remove: (_doc, _marks), marks being (kind, place, size)."""
     found = anchors(documents, length, grain)
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Written, so that the join has a plain shuffle on either side and Spark can split frequent anchors.
+    repeated = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-repeated")
     occurrences = written(found.join(repeated, "h", "left_semi"), "anchors")
     firsts = occurrences.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("first")).select("h", "first.doc", "first.place")
     # Contexts of an anchor; one row per anchor on the other side of the join.
@@ -169,10 +198,15 @@ def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, lim
         if rows:
             yield _spans(rows)
 
+    groups, spans = bisected(hot, length, grain, limit)
+    for g in groups:
+        cold = cold.unionByName(g)
     # Whole groups of bounded size meet in a task, in order of document and place.
-    spans = cold.repartition("h").sortWithinPartitions("h", "doc", "place").mapInArrow(match, SPAN).unionByName(window_spans(hot, length))
+    found_spans = cold.repartition("h").sortWithinPartitions("h", "doc", "place").mapInArrow(match, SPAN)
+    for x in spans:
+        found_spans = found_spans.unionByName(x)
     mark = lambda df, kind, size: df.select("doc", F.struct(F.lit(kind).cast("byte").alias("kind"), F.col("place"), size.cast("int").alias("size")).alias("mark"))
-    marks = mark(occurrences, 0, F.lit(0)).unionByName(mark(firsts, 1, F.lit(0))).unionByName(mark(spans, 2, F.col("size")))
+    marks = mark(occurrences, 0, F.lit(0)).unionByName(mark(firsts, 1, F.lit(0))).unionByName(mark(found_spans, 2, F.col("size")))
     # A document's marks are as many as its words at most.
     return docs, marks.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("mark").alias("_marks"))
 
@@ -194,21 +228,22 @@ def cover(n: int, marks_kind: np.ndarray, marks_place: np.ndarray, marks_size: n
     return np.cumsum(edge[:-1]) > 0
 
 
-def cut(documents: DataFrame, length: int, grain: int, matcher: Matcher) -> DataFrame:
+def cut(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int = 8000) -> DataFrame:
     """The documents with repeated passages cut from ``text``, and ``removal``: (n_words, n_removed, kept_sha256, spans).
 
     Spans are pairs of word numbers, from and up to.  Texts without a repeat are left as they are; a column ``removal`` of the input is replaced.
     """
     documents = documents.drop("removal")
     names = documents.columns
-    docs, marks = removed(documents, length, grain, matcher)
+    docs, marks = removed(documents, length, grain, matcher, limit)
     joined = docs.join(marks, "_doc", "left")
     order = joined.columns
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_at, tag_at, marks_at = (order.index(c) for c in ("text", "_tag", "_marks"))
-        for batch in batches:
+        # In small pieces, as texts are held several times over.
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             tag, lists = batch.column(tag_at).to_numpy(zero_copy_only=False), batch.column(marks_at)
             begin, flat = lists.offsets.to_numpy(), lists.values
             k, p, z = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
