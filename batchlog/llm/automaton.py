@@ -24,20 +24,23 @@ from . import passages
 
 
 class Automaton:
-    """A suffix automaton of several sequences, which knows where each state's strings first ended."""
+    """A suffix automaton of several sequences, which knows where each state's strings first ended.
+
+    Ends are numbers, as many automata are large; the caller knows what they stand for.
+    """
 
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.size = [0]
-        self.first: list[tuple[int, int]] = [(0, 0)]
+        self.first: list[int] = [0]
         self.last = 0
 
     def start(self) -> None:
         """Begins another sequence."""
         self.last = 0
 
-    def _state(self, size: int, link: int, to: dict, first: tuple[int, int]) -> int:
+    def _state(self, size: int, link: int, to: dict, first: int) -> int:
         self.next.append(to)
         self.link.append(link)
         self.size.append(size)
@@ -53,7 +56,7 @@ class Automaton:
         self.link[q] = new
         return new
 
-    def add(self, word, end: tuple[int, int]) -> None:
+    def add(self, word, end: int) -> None:
         """Lengthens the sequence by a word that lies at ``end``."""
         p = self.last
         q = self.next[p].get(word)
@@ -91,7 +94,7 @@ class Automaton:
 def match(groups: Iterator[tuple], length: int) -> Iterator[tuple[int, int, int]]:
     """Spans (doc, place, size) of a shard's passages whose windows came earlier."""
     for docs, places, lefts, raw in groups:
-        automaton = Automaton()
+        automaton, longest, origin = Automaton(), 2 * length, []
         for doc, place, left, text in zip(docs.tolist(), places.tolist(), lefts.tolist(), raw, strict=True):
             words, begin = text.split(), place - left
             found = None
@@ -99,7 +102,8 @@ def match(groups: Iterator[tuple], length: int) -> Iterator[tuple[int, int, int]
                 if n < length:
                     continue
                 # The first window with these words; it may be this very one, in an overlapping passage.
-                if automaton.first[automaton.shortest(state, length)] >= (doc, begin + i):
+                sequence, word = divmod(automaton.first[automaton.shortest(state, length)], longest)
+                if (origin[sequence][0], origin[sequence][1] + word) >= (doc, begin + i):
                     continue
                 at = begin + i + 1 - length
                 if found and at <= found[0] + found[1]:
@@ -112,9 +116,10 @@ def match(groups: Iterator[tuple], length: int) -> Iterator[tuple[int, int, int]
                 yield doc, found[0], found[1]
             automaton.start()
             for i, word in enumerate(words):
-                automaton.add(word, (doc, begin + i))
+                automaton.add(word, len(origin) * longest + i)
+            origin.append((doc, begin))
 
 
-def remove_substrings(documents: DataFrame, length: int = 20, grain: int = 6) -> DataFrame:
+def remove_substrings(documents: DataFrame, length: int = 20, grain: int = 6, limit: int = 2000) -> DataFrame:
     """Documents without the words of windows that came earlier; see ``passages.cut``."""
-    return passages.cut(documents, length, grain, match)
+    return passages.cut(documents, length, grain, match, limit)

@@ -16,9 +16,10 @@ id, or earlier in the same one) is removed; windows are judged on the input.
    a matcher (see automaton.py and suffixes.py) in tasks dealt by anchor.  An
    anchor with over ``limit`` contexts is bisected: of its windows, one half has
    so many words to the right in common, the other so many to the left, so
-   contexts are dealt by longer anchors for either half.  This is repeated where
-   needed; what is over ``limit`` at last are equal windows, which an aggregate
-   combines before the shuffle.  So no key is too large for a task.
+   contexts are dealt by longer anchors for either half.  This is repeated until
+   a group is small, or agrees in all words of its windows; then an aggregate
+   that is combined before the shuffle finds the first.  So no key is too large
+   for a task.
 5. Every document gathers its removed places and is cut.
 
 Ids of documents should be unique.  Rows that agree in id and text are one
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import written
+from .shared import small_batches, written
 
 PLACE_BITS = 40
 _PLACE = (1 << PLACE_BITS) - 1
@@ -108,7 +109,9 @@ def halves(rows: DataFrame, length: int, grain: int) -> DataFrame:
     """Contexts of groups whose windows have ``lo`` to ``hi`` words left of the anchor, by half of that range.
 
     The new key is a hash of what all windows of a half have: the anchor with
-    the least words to either side.  Contexts too short for a half leave it.
+    the least words to either side.  Contexts too short for that leave the
+    half.  ``full`` is a hash of all words that its windows have; null where a
+    context is too short for them all.
     """
     margin = length - grain
 
@@ -116,33 +119,39 @@ def halves(rows: DataFrame, length: int, grain: int) -> DataFrame:
         for batch in batches:
             left, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 5, 6))
             for s in textops.slices(batch.column(4).cast(pa.string()), textops.SPACED):
-                at = s.first[:-1] + left[s.rows]
+                first, last = s.first[:-1], s.first[1:]
+                at = first + left[s.rows]
                 middle = (lo[s.rows] + hi[s.rows]) // 2
                 for a, b, some in ((lo[s.rows], middle, middle >= lo[s.rows]), (middle + 1, hi[s.rows], middle < hi[s.rows])):
                     begin, end = at - a, at + grain + margin - b
-                    ok = some & (begin >= s.first[:-1]) & (end <= s.first[1:])
+                    ok = np.flatnonzero(some & (begin >= first) & (end <= last))
                     key = textops.mix(textops.spans_of(s.hash, begin[ok], end[ok]) + textops.U64(1009) * a[ok].astype(np.uint64))
+                    begin, end = at[ok] - b[ok], at[ok] + length - a[ok]
+                    whole = (begin >= first[ok]) & (end <= last[ok])
+                    full = textops.spans_of(s.hash, np.maximum(begin, first[ok]), np.minimum(end, last[ok]))
                     own = batch.take(pa.array(s.rows[ok]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own.columns[1:5], pa.array(a[ok].astype(np.int32)), pa.array(b[ok].astype(np.int32))], batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own.columns[1:5], pa.array(a[ok].astype(np.int32)), pa.array(b[ok].astype(np.int32)), pa.array(full.view(np.int64), mask=~whole)], [*batch.schema.names[:7], "full"])
 
-    return rows.mapInArrow(run, CONTEXT + ", lo int, hi int")
+    return rows.mapInArrow(run, CONTEXT + ", lo int, hi int, full long")
 
 
 def bisected(hot: DataFrame, length: int, grain: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Groups of contexts of ``limit`` at most, and the spans of equal windows that are more."""
+    """Groups of contexts of ``limit`` at most, and the spans of larger groups that agree in all their windows."""
     names, groups, spans = hot.columns, [], []
     rows = hot.withColumns({"lo": F.lit(0), "hi": F.lit(length - grain)})
     for _ in range((length - grain).bit_length() + 1):
         rows = written(halves(rows, length, grain), "contexts")
-        sized = rows.join(written(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "context-groups"), "h")
+        equal = (F.count("full") == F.count("*")) & (F.min("full") == F.max("full"))
+        sizes = rows.groupBy("h").agg(F.count("*").alias("n"), F.coalesce(equal, F.lit(False)).alias("equal")).filter("n > 1")
+        sized = rows.join(written(sizes, "context-groups"), "h")
         groups.append(sized.filter(F.col("n") <= limit).select(names))
-        rows = sized.filter(F.col("n") > limit).drop("n")
-        if rows.isEmpty():
+        large = sized.filter(F.col("n") > limit)
+        if large.isEmpty():
             break
-        windows = rows.filter("lo = hi").select("h", "doc", (F.col("place") - F.col("lo")).alias("place"))
-        first = windows.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"))
-        spans.append(windows.join(first, "h").filter(F.struct("doc", "place") > F.col("first")).select("doc", "place", F.lit(length).alias("size")))
-        rows = rows.filter("lo < hi")
+        same = large.filter("equal").select("h", "doc", (F.col("place") - F.col("hi")).alias("place"), (length + F.col("hi") - F.col("lo")).alias("size"))
+        first = same.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"))
+        spans.append(same.join(first, "h").filter(F.struct("doc", "place") > F.col("first")).select("doc", "place", "size"))
+        rows = large.filter("not equal").select(*names, "lo", "hi")
     return groups, spans
 
 
@@ -233,6 +242,7 @@ def cut(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit:
 
     Spans are pairs of word numbers, from and up to.  Texts without a repeat are left as they are; a column ``removal`` of the input is replaced.
     """
+    small_batches(documents.sparkSession)
     documents = documents.drop("removal")
     names = documents.columns
     docs, marks = removed(documents, length, grain, matcher, limit)

@@ -21,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches between executors and their Python workers by bytes.
+
+    Texts are long: at the default of 64 MB the buffers on both sides of every
+    running task take a good part of an executor's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
