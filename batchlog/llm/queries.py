@@ -60,15 +60,40 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
-    return kept.select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256", "removal.spans")
+    return kept.select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_substring_dedup, op4_near_duplicates, op5_warc, op6_toxicity, op7_packing, op8_quality, op9_neighbours, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+
+def _repeats_sql(length: int) -> str:
+    return f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + {length}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - {length} + 1)) AS i FROM docs WHERE len(w) >= {length})),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, {length})) AS j FROM later)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id"""
+
+
 ORACLE = {
+    "op3_substring_dedup": _repeats_sql(20),
+    "op10_suffix_dedup": _repeats_sql(50),
+    "op4_near_duplicates": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + least(5, len(w))], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met >= 75 * (x.n + y.n - met)),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM docs UNION SELECT node, b FROM reach JOIN links ON other = a)
+SELECT docs.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, docs.doc_id = min(other) AS kept
+FROM docs JOIN reach ON node = docs.doc_id LEFT JOIN sizes ON sizes.doc_id = docs.doc_id GROUP BY docs.doc_id""",
     "op1_decontamination": f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
 wins AS (SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[i + 1 : i + least(13, len(w))], ' ') AS win
