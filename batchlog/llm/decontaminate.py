@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import small_batches
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
 _PARTS = "doc_id long, text_key long, n_words long, spans array<int>, items array<string>"
@@ -171,6 +172,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, block_bytes: int = 16 << 20, keep_rows: bool = False) -> DataFrame:
     """One row per document: how many words benchmark windows hit, and which items have occurring windows."""
     spark = documents.sparkSession
+    small_batches(spark)
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n_blocks = max(1, -(-total // block_bytes))

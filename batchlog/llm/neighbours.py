@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 SCHEMA = "query_id long, vec_id long, score double"
 TILE = 2048
 
@@ -89,6 +91,7 @@ def fewer_copies(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray,
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_384) -> DataFrame:
     """The k nearest of each query (ids divisible by ``every``): query_id, rank, vec_id, score."""
     spark = embeddings.sparkSession
+    small_batches(spark)
     vectors = usable(embeddings)
     queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0)
     # Blocks of ids: hashing deals them evenly, so a block holds about ``block`` queries.

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import small_batches
 
 GRADES = 3
 #: Lengths in bytes of the word beginnings that are features, so that inflected words share weights.
@@ -138,6 +139,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
 def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, size: int = 4096, min_docs: int = 8) -> Model:
     """Learns from at most ``sample`` labelled rows of (doc_id, toxic)."""
     spark = documents.sparkSession
+    small_batches(spark)
     graded = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` pairs of numbers are broadcast.
