@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .components import components
-from .shared import written
+from .shared import small_batches, splittable, written
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS, MANTISSA = 32, 4, 10
@@ -150,7 +150,7 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int, share: int = 500)
     A pair travels with the set of a to the set of b; a b with many pairs is
     dealt over several tasks, each with ``share`` pairs or so and a copy of b's set.
     """
-    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    per = splittable(pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")), "pairs-each")
     left = pairs.join(per, "b").join(known.withColumnRenamed("id", "a"), "a").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", "own")
     right = per.join(known.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "own")
 
@@ -190,15 +190,14 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def across(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Links (a, b) between different components in one bucket, as many as join them and no more.
 
-    ``members``: (bucket, band, id, root, registers, own).  A bucket is cut into
+    ``members``: (bucket, size, band, id, root, registers, own).  A bucket is cut into
     blocks of about ``block`` members and each pair of blocks meets in a task,
     so that no task holds a whole bucket.  Pairs stay in the task: they are
     estimated from registers, then verified on full sets, each in the first
     band that its two members share.
     """
-    per = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(per, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "id", "root", "registers", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +240,7 @@ def across(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id of its class), kept."""
+    small_batches(documents.sparkSession)
     docs = written(described(documents), "sketches")
     some = docs.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n"))
@@ -248,8 +248,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches = classes.select("id", "registers", "n").dropDuplicates(["id"])
 
     banded = buckets(classes)
-    # Written, so that the join has a plain shuffle on either side and Spark can split large buckets.
-    shared = written(banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1"), "buckets-shared")
+    shared = splittable(banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1"), "buckets-shared")
     crowded = written(banded.join(shared, "bucket").select("bucket", "band", "id", "b", "size"), "buckets")
     pairs = written(plausible(crowded.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), sketches, percent), "pairs")
     known = written(full_sets(documents, crowded.filter("size > 2").select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()), "sets")
@@ -258,8 +257,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # Buckets of two were tested in full.  In others, pairs without the smallest id were not.
     rooted = crowded.filter("size > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("bucket")
-    members = rooted.join(mixed, "bucket").join(sketches, "id").join(known, "id").select("bucket", "band", "id", "root", "registers", "own")
+    mixed = splittable(rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("bucket"), "buckets-mixed")
+    members = rooted.join(mixed, "bucket").join(sketches, "id").join(known, "id").select("bucket", "size", "band", "id", "root", "registers", "own")
     further = written(across(members, percent), "links-across")
     if further.isEmpty():
         roots = first

@@ -38,6 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def splittable(df: DataFrame, name: str) -> DataFrame:
+    """One row per key, written: joined with rows of frequent keys, it lets Spark split these.
+
+    Adaptive execution splits a join's partitions only if plain shuffles lie on
+    either side; an aggregate that feeds the join directly prevents that.
+    """
+    return written(df, name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder, so that its lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
