@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import small_batches, written
+from .shared import small_batches, splittable, written
 
 PLACE_BITS = 40
 _PLACE = (1 << PLACE_BITS) - 1
@@ -143,13 +143,13 @@ def bisected(hot: DataFrame, length: int, grain: int, limit: int) -> tuple[list[
         rows = written(halves(rows, length, grain), "contexts")
         equal = (F.count("full") == F.count("*")) & (F.min("full") == F.max("full"))
         sizes = rows.groupBy("h").agg(F.count("*").alias("n"), F.coalesce(equal, F.lit(False)).alias("equal")).filter("n > 1")
-        sized = rows.join(written(sizes, "context-groups"), "h")
+        sized = rows.join(splittable(sizes, "context-groups"), "h")
         groups.append(sized.filter(F.col("n") <= limit).select(names))
         large = sized.filter(F.col("n") > limit)
         if large.isEmpty():
             break
         same = large.filter("equal").select("h", "doc", (F.col("place") - F.col("hi")).alias("place"), (length + F.col("hi") - F.col("lo")).alias("size"))
-        first = same.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"))
+        first = splittable(same.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first")), "context-firsts")
         spans.append(same.join(first, "h").filter(F.struct("doc", "place") > F.col("first")).select("doc", "place", "size"))
         rows = large.filter("not equal").select(*names, "lo", "hi")
     return groups, spans
@@ -184,12 +184,11 @@ def _joined(parts: list[pa.RecordBatch]) -> tuple:
 def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int) -> tuple[DataFrame, DataFrame]:
     """Documents with keys, and by document what to remove: (_doc, _marks), marks being (kind, place, size)."""
     found = anchors(documents, length, grain)
-    # Written, so that the join has a plain shuffle on either side and Spark can split frequent anchors.
-    repeated = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-repeated")
+    repeated = splittable(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-repeated")
     occurrences = written(found.join(repeated, "h", "left_semi"), "anchors")
     firsts = occurrences.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("first")).select("h", "first.doc", "first.place")
     # Contexts of an anchor; one row per anchor on the other side of the join.
-    many = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    many = splittable(firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "anchors-many")
     chosen = firsts.join(many, "h").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("h", "place", (F.col("n") > limit).alias("hot"))).alias("_all"))
     docs = keyed(documents)
     pick = lambda hot: F.transform(F.filter("_all", lambda x: x["hot"] == hot), lambda x: F.struct(x["h"], x["place"]))
