@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, small_batches, splittable
 
 END = "\r\n\r\n"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, payload binary"
@@ -113,7 +113,7 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     big = F.col("payload_bytes") >= least_bytes
     # Null page ids come last; equal ones by record.
     first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "record_id")).alias("first")
-    originals = headers.filter(big).groupBy("payload_digest").agg(first)
+    originals = splittable(headers.filter(big).groupBy("payload_digest").agg(first), "digests")
     revisit = big & (F.col("first.record_id") != F.col("record_id"))
     return headers.join(originals, "payload_digest", "left").select(
         "record_id",
@@ -126,6 +126,7 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Writes raw and then deduplicated archives under ``path``, and reads the latter back (headers and payloads)."""
     spark = pages.sparkSession
+    small_batches(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     write_archives(
         # The record number is fixed once it is written.
