@@ -23,6 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import splittable
+
 BAD = "label:bad"
 
 
@@ -109,11 +111,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     index = F.broadcast(inverted(mine(pages, labels, min_support, min_confidence, min_count, max_rules)))
     # A mined verdict depends on the url alone, so each distinct url is matched once.
     urls = base.filter(F.col("rule").isNull() & F.col("url").isNotNull()).select("url").distinct().withColumn("own", tokens(F.col("url")))
-    matched = (
+    matched = splittable(
         urls.withColumn("token", F.explode("own")).join(index, "token").filter(F.forall("tokens", lambda t: F.array_contains("own", t)))
-        .groupBy("url").agg(F.max_by(F.array_join("tokens", " "), F.struct("confidence", "tokens")).alias("mined"))
+        .groupBy("url").agg(F.max_by(F.array_join("tokens", " "), F.struct("confidence", "tokens")).alias("mined")),
+        "urls-matched",
     )
-    # ``matched`` has one row per url, so a url on many pages can be split in this join.
     judged = base.join(matched, "url", "left")
     blocks = [r for v, r in rules if v == "block"]
     verdict = F.when(F.col("rule").isin(blocks), "block").when(F.col("rule").isNotNull(), "allow").when(F.col("mined").isNotNull(), "block").otherwise("allow")
