@@ -50,22 +50,19 @@ def statistics(texts: pa.Array) -> np.ndarray:
     out = []
     for s, lines in zip(textops.slices(texts, textops.SPACED), textops.slices(texts, LINES), strict=True):
         n = len(s.rows)
-        bounds = np.concatenate([[0], np.searchsorted(s.start, np.arange(1))])
-        offsets = textops.buffers(texts.slice(int(s.rows[0]), n))[0]
-        sizes = np.diff(offsets)
-        owner = np.repeat(np.arange(n), sizes)
+        owner = np.repeat(np.arange(n), np.diff(s.bounds))
         counts = np.bincount(owner * _KINDS + _KIND[s.data], minlength=n * _KINDS).reshape(n, _KINDS).astype(float)
-        del bounds, owner
-        chars = np.maximum(counts.sum(axis=1) - counts[:, 11], 1)
+        chars = np.maximum(counts.sum(axis=1) - counts[:, 11], 1)  # a character of several bytes counts once
         shares = counts / chars[:, None]
         words, length = np.diff(s.first), (s.end - s.start).astype(float)
-        many = np.maximum(words, 1)
+        many, n_lines = np.maximum(words, 1), np.diff(lines.first)
         mean = np.bincount(s.doc, length, n) / many
         spread = np.sqrt(np.maximum(np.bincount(s.doc, length**2, n) / many - mean**2, 0))
-        odd = np.bincount(s.doc, (_KIND[s.data[np.maximum(s.end - 1, 0)]] >= 7) & (_KIND[s.data[np.maximum(s.end - 1, 0)]] <= 10), n) / many
+        ending = _KIND[s.data[np.maximum(s.end - 1, 0)]]
+        odd = np.bincount(s.doc, (ending >= 7) & (ending <= 10), n) / many
         out.append(
             np.column_stack(
-                [shares, np.log1p(chars), np.log1p(words), mean, spread, _distinct(s) / many, odd, np.log1p(np.diff(lines.first)), _distinct(lines) / np.maximum(np.diff(lines.first), 1), words / np.maximum(np.diff(lines.first), 1) / 100]
+                [shares, np.log1p(chars), np.log1p(words), mean, spread, _distinct(s) / many, odd, np.log1p(n_lines), _distinct(lines) / np.maximum(n_lines, 1), words / np.maximum(n_lines, 1) / 100]
             )
         )
     return np.concatenate(out) if out else np.zeros((0, N_STATISTICS))
