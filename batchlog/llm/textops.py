@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 #: Odd multipliers and the seed of the byte values; fixed so that runs agree.
 BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
