@@ -19,6 +19,8 @@ packed each; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,12 +43,25 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``.json`` vocabulary; none without such a file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that are not matched literally; use the .json file itself")
+    return {t["content"]: t["id"] for t in added}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """Encodes a list of texts, as the vocabulary file says.
 
     A ``.tiktoken`` file holds a ``.json`` file's byte-level vocabulary as
-    ranks; ids are the same and come several times as fast.
+    ranks; ids are the same and come several times as fast.  Added tokens, such
+    as ``<|endoftext|>``, are matched in text; ranks do not hold them, so they
+    are read from the ``.json`` file of the same name.
     """
     if path.endswith(".tiktoken"):
         import public_tokenizers
@@ -54,11 +69,12 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = added_tokens(path.removesuffix(".tiktoken") + ".json")
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        return lambda text: own.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 

@@ -356,6 +356,19 @@ def test_both_vocabulary_files_agree():
     assert all(list(a(t)) == list(b(t)) for t in texts)
 
 
+def test_added_tokens_are_matched_in_text(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|>  \n y", "<|endoftext|", "<| endoftext |>", "", "<|endofprompt|> é<|endoftext|>日本"]
+    t = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for name in ("tiktoken", "json"):
+        assert [list(packing.encoder(packing.vocabulary_path(f"byte_bpe_50k.{name}"))(x)) for x in texts] == want
+    got = packing.pack(frame(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: [*x, 1] for i, x in enumerate(want)}
+
+
 # 8: quality
 
 
