@@ -4,8 +4,10 @@ A listed rule (host, path) fits its host and all subdomains if the url's path
 starts with the rule's path; the longest that fits decides.  Where none fits,
 association rules decide: FP-growth mines combinations of url tokens that go
 with bad labels; rules below a support or confidence are pruned; a url with all
-tokens of a rule left is blocked.  Mined rules are found by an inverted index
-on their rarest token and then verified in full.
+tokens of a rule left is blocked.  Only minimal rules are kept, as a rule whose
+tokens hold those of another blocks no further url; the rule reported is the
+most confident of them.  Mined rules are found by an inverted index on their
+rarest token and then verified in full.
 
 Only DataFrame functions and Spark ML run here, no Python on executors.
 
@@ -23,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import splittable
+from .shared import splittable, written
 
 BAD = "label:bad"
 
@@ -76,13 +78,12 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_count: int, max_rules: int) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_count: int) -> DataFrame:
     """Association rules (tokens, support, confidence) that conclude a bad label.
 
     ``labels`` has (page_id, bad); all labelled pages are used.  A rule needs
-    the share ``min_support`` and the number ``min_count`` of them behind it.  The rules kept
-    are the ``max_rules`` of largest confidence, then support: a model size, so
-    that the index can be broadcast.
+    the share ``min_support`` and the number ``min_count`` of them behind it.
+    All such rules that are minimal are kept.
     """
     bad = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", "url").filter("url is not null").join(bad, "page_id")
@@ -92,7 +93,24 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence
         return pages.sparkSession.createDataFrame([], "tokens array<string>, support double, confidence double")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
-    return rules.orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(max_rules)
+    return minimal(rules)
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """The rules whose tokens hold those of no other rule.
+
+    By number of tokens: the fewest are minimal, rules that hold one of these
+    go, and so on with what is left, which each round makes smaller.
+    """
+    left, out = written(rules.dropDuplicates(["tokens"]), "rules"), None
+    while (least := left.agg(F.min(F.size("tokens"))).first()[0]) is not None:
+        own = left.filter(F.size("tokens") == least)
+        out = own if out is None else out.unionByName(own)
+        longer = left.filter(F.size("tokens") > least)
+        index = inverted(own).select(F.col("tokens").alias("part"), "token")
+        holds = longer.withColumn("token", F.explode("tokens")).join(index, "token").filter(F.forall("part", lambda t: F.array_contains("tokens", t)))
+        left = written(longer.join(holds.select("tokens").distinct(), "tokens", "left_anti"), "rules")
+    return left if out is None else out
 
 
 def inverted(rules: DataFrame) -> DataFrame:
@@ -102,13 +120,13 @@ def inverted(rules: DataFrame) -> DataFrame:
     return each.join(shared, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 20, max_rules: int = 10_000) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 20) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the mined rule that blocked it, if one did."""
     base = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     base = base.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    # The index has at most max_rules rows, so its size is bounded.
-    index = F.broadcast(inverted(mine(pages, labels, min_support, min_confidence, min_count, max_rules)))
+    # The number of rules has no bound, so the index is not broadcast by force; it is written, so that Spark knows its size.
+    index = written(inverted(mine(pages, labels, min_support, min_confidence, min_count)), "rules-index")
     # A mined verdict depends on the url alone, so each distinct url is matched once.
     urls = base.filter(F.col("rule").isNull() & F.col("url").isNotNull()).select("url").distinct().withColumn("own", tokens(F.col("url")))
     matched = splittable(

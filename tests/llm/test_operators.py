@@ -136,6 +136,27 @@ def test_url_rules_and_mining(spark):
     assert urls.judge(df.limit(0), labels, URL_RULES).count() == 0
 
 
+def test_no_mined_rule_is_lost_among_many(spark):
+    # 80 hosts of 8 tokens, one of them their own: over 10,000 rules of confidence 1.
+    sure = [(i, f"http://h{i % 80}.bad.io/a/b?c={i}") for i in range(1600)]
+    mixed = [(2000 + i, "ftp://mixed.org/x") for i in range(25)]
+    good = [(3000 + i, "http://fine.net/a/b?c=1") for i in range(1600)]
+    new = [(9000, "ftp://mixed.org/x"), (9001, "http://h3.bad.io/other"), (9002, "https://fine.net/y")]
+    df = spark.createDataFrame(sure + mixed + good + new, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 2020) for i, _ in sure + mixed + good], "page_id long, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(df, labels, URL_RULES).filter("page_id >= 9000").collect()}
+    assert got == {9000: "block", 9001: "block", 9002: "allow"}
+
+
+def test_minimal_rules(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 60):
+        sets = {frozenset(rng.sample("abcdefghij", rng.randrange(2, 7))) for _ in range(n)} | ({frozenset("ab"), frozenset("abcd"), frozenset("k"), frozenset("akl")} if n else set())
+        df = spark.createDataFrame([(sorted(s), 0.1, 0.9) for s in sets], "tokens array<string>, support double, confidence double")
+        got = [r.tokens for r in urls.minimal(df).collect()]
+        assert sorted(got) == sorted(sorted(s) for s in sets if not any(o < s for o in sets))
+
+
 # 3 and 10: repeated passages
 
 
