@@ -8,8 +8,9 @@ r_a + r_b * |b'|, so pairs whose upper bound stays below a query's k-th best
 lower bound are dropped; the rest are recomputed in double precision and kept
 in one heap per query, which are merged at the end.
 
-Equal candidates within a batch are kept k + 1 times, by smallest id: no query
-can return more of them.
+Of equal candidates within a batch at most k rows of each id are kept, and of
+those the 2k of smallest id: at most k of them are a query's own, so its k
+smallest others are among them.
 
 Defined cases: vectors that are null, zero, of another length than the first
 query block's, or hold null or non-finite components take no part, and null ids
@@ -75,17 +76,25 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def fewer_copies(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors, those with the ``keep`` smallest ids."""
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """Each row's number among the rows of its group, in their order."""
+    by = np.argsort(group, kind="stable")
+    sizes = np.bincount(group)
+    rank = np.empty(len(group), np.int64)
+    rank[by] = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return rank
+
+
+def fewer_copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors, at most k rows of each id, and of those the 2k of smallest id."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     raw = np.ascontiguousarray(x).view([("", x.dtype)] * x.shape[1]).ravel()
     _, group = np.unique(raw, return_inverse=True)
-    by = np.argsort(group, kind="stable")
-    sizes = np.bincount(group)
-    rank = np.empty(len(ids), np.int64)
-    rank[by] = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return ids[rank < keep], x[rank < keep]
+    _, pair = np.unique(np.stack([group, ids]), axis=1, return_inverse=True)
+    own = np.flatnonzero(_ranks(pair.ravel()) < k)
+    own = own[_ranks(group[own]) < 2 * k]
+    return ids[own], x[own]
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_384) -> DataFrame:
@@ -114,7 +123,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_
                 ids, x = _matrix(batch.column(0), batch.column(1), width)
                 if not len(ids):
                     continue
-                ids, x = fewer_copies(ids, x, k + 1)
+                ids, x = fewer_copies(ids, x, k)
                 for at in range(0, len(ids), TILE):
                     c_ids, c = ids[at : at + TILE], x[at : at + TILE]
                     cc = Quantised(c)

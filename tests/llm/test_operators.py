@@ -437,3 +437,16 @@ def test_neighbours(spark):
     few = neighbours.nearest(df.filter("vec_id in (0, 1, 2)"), k=5)
     assert few.count() == 2
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_a_repeated_query_row_hides_no_equal_candidate(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    x[51] = x[50]
+    data = [(50, x[50].tolist())] * 6 + [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").coalesce(1)
+    got = neighbours.nearest(df, k=5, every=50).filter("query_id = 50").orderBy("rank").collect()
+    d = x.astype(np.float64)
+    s = (d @ d[50]) / np.sqrt((d * d).sum(axis=1) * (d[50] @ d[50]))
+    assert [r.vec_id for r in got] == sorted((i for i in range(60) if i != 50), key=lambda i: (-s[i], i))[:5]
+    assert got[0].vec_id == 51
