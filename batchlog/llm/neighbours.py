@@ -1,7 +1,9 @@
 """Nearest neighbours by a block matrix join.
 
 Queries come in blocks of at most ``block`` vectors, a size that bounds what is
-broadcast; each block is held against every candidate in a scan.  A tile of the
+broadcast; each block is held against every candidate in a scan, whose result is
+written before the next block is collected.  Within a block queries are grouped
+by the length of their vectors.  A tile of the
 product is computed on int8 vectors.  With r the length of what rounding took
 from a unit vector, the cosine differs from the tile's value by at most
 r_a + r_b * |b'|, so pairs whose upper bound stays below a query's k-th best
@@ -12,9 +14,9 @@ Of equal candidates within a batch at most k rows of each id are kept, and of
 those the 2k of smallest id: at most k of them are a query's own, so its k
 smallest others are among them.
 
-Defined cases: vectors that are null, zero, of another length than the first
-query block's, or hold null or non-finite components take no part, and null ids
-neither; equal scores go to the smaller id; repeated rows are candidates each
+Defined cases: vectors that are null, zero, or hold null or non-finite
+components take no part, and null ids neither; a query meets the candidates of
+its own vector's length; equal scores go to the smaller id; repeated rows are candidates each
 (a query's own id is never returned, and a repeated query id is one query);
 with fewer candidates than k all are returned; an empty table gives no rows;
 other columns are ignored.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 
 SCHEMA = "query_id long, vec_id long, score double"
 TILE = 2048
@@ -53,7 +55,7 @@ def _matrix(ids: pa.Array, lists: pa.Array, width: int) -> tuple[np.ndarray, np.
 
 
 class Quantised:
-    """Unit vectors, their int8 form (held as float32, in which tiles of up to 1,040 dimensions are exact) and bounds."""
+    """Unit vectors, their int8 form (held as float32, in which tiles of up to 1,040 dimensions are exact, else as float64) and bounds."""
 
     def __init__(self, x: np.ndarray):
         big = np.abs(x).max(axis=1, keepdims=True)
@@ -64,7 +66,7 @@ class Quantised:
         near = whole * self.step[:, None]
         self.rest = np.sqrt(((unit - near) ** 2).sum(axis=1)) + 1e-9
         self.size = np.sqrt((near**2).sum(axis=1))
-        self.tile = whole.astype(np.float32)
+        self.tile = whole.astype(np.float32 if whole.shape[1] <= 1040 else np.float64)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,6 +99,55 @@ def fewer_copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[own], x[own]
 
 
+def _by_length(own: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Queries (ids, vectors) for each length of vector."""
+    if not own.num_rows:
+        return []
+    ids, lists = own["vec_id"].combine_chunks(), own["v"].combine_chunks()
+    return [_matrix(ids, lists, int(w)) for w in np.unique(np.diff(lists.offsets.to_numpy()))]
+
+
+class Block:
+    """Queries of one length, with a heap of their best candidates so far."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.qq = ids, q, k, Quantised(q)
+        self.best = [[] for _ in ids]  # heaps of (score, -id)
+        self.floor = np.full(len(ids), -np.inf)
+
+    def meet(self, ids: pa.Array, lists: pa.Array) -> None:
+        q_ids, q, k, qq, best, floor = self.ids, self.q, self.k, self.qq, self.best, self.floor
+        ids, x = _matrix(ids, lists, q.shape[1])
+        if not len(ids):
+            return
+        ids, x = fewer_copies(ids, x, k)
+        for at in range(0, len(ids), TILE):
+            c_ids, c = ids[at : at + TILE], x[at : at + TILE]
+            cc = Quantised(c)
+            for lo in range(0, len(q_ids), TILE):
+                hi = min(lo + TILE, len(q_ids))
+                about = (qq.tile[lo:hi] @ cc.tile.T) * (qq.step[lo:hi, None] * cc.step[None, :])
+                error = qq.rest[lo:hi, None] + qq.size[lo:hi, None] * cc.rest[None, :]
+                about[q_ids[lo:hi, None] == c_ids[None, :]] = -np.inf
+                if about.shape[1] >= k:
+                    lower = np.partition(about - error, -k, axis=1)[:, -k]
+                    lower = np.maximum(lower, floor[lo:hi])
+                else:
+                    lower = floor[lo:hi]
+                i, j = np.nonzero((about + error >= lower[:, None]) & (about > -np.inf))
+                for part in range(0, len(i), 65_536):
+                    pi, pj = i[part : part + 65_536], j[part : part + 65_536]
+                    for s, row, vec in zip(cosines(q[lo + pi], c[pj]).tolist(), (lo + pi).tolist(), c_ids[pj].tolist(), strict=True):
+                        heap = best[row]
+                        if len(heap) < k:
+                            heapq.heappush(heap, (s, -vec))
+                        elif (s, -vec) > heap[0]:
+                            heapq.heapreplace(heap, (s, -vec))
+                for row in np.unique(i).tolist():
+                    if len(best[lo + row]) == k:
+                        floor[lo + row] = best[lo + row][0][0]
+
+
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_384) -> DataFrame:
     """The k nearest of each query (ids divisible by ``every``): query_id, rank, vec_id, score."""
     spark = embeddings.sparkSession
@@ -105,57 +156,28 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_
     queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0)
     # Blocks of ids: hashing deals them evenly, so a block holds about ``block`` queries.
     n_blocks = -(-queries.count() // block)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = None
     for b in range(max(1, n_blocks)):
         own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_blocks))) == b).dropDuplicates(["vec_id"]).orderBy("vec_id").toArrow()
-        width = int(np.diff(own["v"].combine_chunks().offsets.to_numpy()).max()) if own.num_rows else 1
-        q_ids, q = _matrix(own["vec_id"].combine_chunks(), own["v"].combine_chunks(), width) if own.num_rows else (np.zeros(0, np.int64), np.zeros((0, 1)))
-        shared = spark.sparkContext.broadcast((q_ids, q))
+        shared = spark.sparkContext.broadcast(_by_length(own))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            if not len(q_ids):
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            groups = [Block(q_ids, q, k) for q_ids, q in shared.value]
+            if not groups:
                 return
-            qq = Quantised(q)
-            best = [[] for _ in q_ids]  # heaps of (score, -id)
-            floor = np.full(len(q_ids), -np.inf)
             for batch in batches:
-                ids, x = _matrix(batch.column(0), batch.column(1), width)
-                if not len(ids):
-                    continue
-                ids, x = fewer_copies(ids, x, k)
-                for at in range(0, len(ids), TILE):
-                    c_ids, c = ids[at : at + TILE], x[at : at + TILE]
-                    cc = Quantised(c)
-                    for lo in range(0, len(q_ids), TILE):
-                        hi = min(lo + TILE, len(q_ids))
-                        about = (qq.tile[lo:hi] @ cc.tile.T) * (qq.step[lo:hi, None] * cc.step[None, :])
-                        error = qq.rest[lo:hi, None] + qq.size[lo:hi, None] * cc.rest[None, :]
-                        about[q_ids[lo:hi, None] == c_ids[None, :]] = -np.inf
-                        if about.shape[1] >= k:
-                            lower = np.partition(about - error, -k, axis=1)[:, -k]
-                            lower = np.maximum(lower, floor[lo:hi])
-                        else:
-                            lower = floor[lo:hi]
-                        i, j = np.nonzero((about + error >= lower[:, None]) & (about > -np.inf))
-                        for part in range(0, len(i), 65_536):
-                            pi, pj = i[part : part + 65_536], j[part : part + 65_536]
-                            for s, row, vec in zip(cosines(q[lo + pi], c[pj]).tolist(), (lo + pi).tolist(), c_ids[pj].tolist(), strict=True):
-                                heap = best[row]
-                                if len(heap) < k:
-                                    heapq.heappush(heap, (s, -vec))
-                                elif (s, -vec) > heap[0]:
-                                    heapq.heapreplace(heap, (s, -vec))
-                        for row in np.unique(i).tolist():
-                            if len(best[lo + row]) == k:
-                                floor[lo + row] = best[lo + row][0][0]
-            rows = [(int(q_ids[i]), -v, s) for i, heap in enumerate(best) for s, v in heap]
-            for at in range(0, len(rows), 65_536):
-                cols = list(zip(*rows[at : at + 65_536], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-        found = vectors.mapInArrow(scan, SCHEMA)
+                for g in groups:
+                    g.meet(batch.column(0), batch.column(1))
+            for g in groups:
+                rows = [(int(g.ids[i]), -v, s) for i, heap in enumerate(g.best) for s, v in heap]
+                for at in range(0, len(rows), 65_536):
+                    cols = list(zip(*rows[at : at + 65_536], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+        # Each task gives at most k rows per query, so a query's merge is small.
+        found = vectors.mapInArrow(scan, SCHEMA).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = written(found.select("query_id", "rank", "vec_id", "score"), "neighbours")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
-    # Each task gives at most k rows per query, so a query's merge is small.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out

@@ -450,3 +450,16 @@ def test_a_repeated_query_row_hides_no_equal_candidate(spark):
     s = (d @ d[50]) / np.sqrt((d * d).sum(axis=1) * (d[50] @ d[50]))
     assert [r.vec_id for r in got] == sorted((i for i in range(60) if i != 50), key=lambda i: (-s[i], i))[:5]
     assert got[0].vec_id == 51
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_a_query_of_another_length_takes_no_rows_from_others(spark, block):
+    rng = np.random.default_rng(4)
+    data = {i: rng.normal(size=9 if i in (100, 101, 150) else 8) for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, k=5, every=50, block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 400, 50):
+        s = {i: v @ data[q] / np.sqrt((v @ v) * (data[q] @ data[q])) for i, v in data.items() if i != q and len(v) == len(data[q])}
+        assert got[q] == sorted(s, key=lambda i: (-s[i], i))[:5]
