@@ -165,7 +165,7 @@ def verdict(n_words: int, n_hit: int, items: list[str]) -> tuple:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, width: int = 13, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
-    """The documents that are not contaminated, with all their columns (several blocks: judged by id)."""
+    """The documents that are not contaminated, with all their columns; each row is judged by itself."""
     return decontaminate(documents, benchmark, width, shingle, block_bytes, keep_rows=True)
 
 
@@ -230,11 +230,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
     for p in parts:
         out = p if out is None else out.unionByName(p)
     merged = _merge(documents, out)
-    return documents.join(merged.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(documents.columns) if keep_rows else merged
+    if not keep_rows:
+        return merged.drop("text_key")
+    gone = merged.filter("contaminated").select("doc_id", "text_key").alias("g")
+    own = documents.alias("d")
+    return own.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key")), "left_anti").select(documents.columns)
 
 
 def _merge(documents: DataFrame, parts: DataFrame) -> DataFrame:
-    """Results of several blocks, by document."""
+    """Results of several blocks, by document (its id and its text's hash)."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,12 +250,12 @@ def _merge(documents: DataFrame, parts: DataFrame) -> DataFrame:
                     marks[spans[1::2]] -= 1
                 n_hit = int((np.cumsum(marks[:-1]) > 0).sum())
                 v = verdict(r["n_words"], n_hit, [x for xs in r["items"] for x in xs])
-                rows.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": v[0], "n_items": v[1], "items_sha256": v[2], "contaminated": v[3], "items": v[4]})
-            schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string()))])
+                rows.append({"doc_id": r["doc_id"], "text_key": r["text_key"], "n_words": r["n_words"], "n_hit": v[0], "n_items": v[1], "items_sha256": v[2], "contaminated": v[3], "items": v[4]})
+            schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     copies = documents.select("doc_id", F.xxhash64("text").alias("text_key")).groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
     joined = parts.groupBy("doc_id", "text_key").agg(F.first("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     joined = joined.alias("p").join(copies.alias("c"), F.col("p.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("p.text_key") == F.col("c.text_key")))
-    rows = joined.select("p.doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
-    return rows.mapInArrow(merge, SCHEMA)
+    rows = joined.select("p.doc_id", "p.text_key", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return rows.mapInArrow(merge, SCHEMA.replace("doc_id long", "doc_id long, text_key long", 1))

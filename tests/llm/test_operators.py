@@ -105,6 +105,15 @@ def test_decontamination(spark, block):
     assert decontaminate.decontaminate(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_clean_judges_each_row_by_itself(spark, block):
+    dirty, fine = " ".join(f"d{i}" for i in range(20)), " ".join(f"f{i}" for i in range(20))
+    docs = [(1, dirty), (1, fine), (None, dirty), (None, fine), (2, dirty), (3, fine), (4, None), (None, None), (3, fine)]
+    bench = spark.createDataFrame([(0, dirty)] + [(i, " ".join(f"x{i}y{j}" for j in range(20))) for i in range(1, 12)], "item_id long, text string")
+    kept = decontaminate.clean(frame(spark, docs).withColumn("text_key", F.lit("clash")), bench, block_bytes=block)
+    assert rows(kept, "doc_id", "text") == sorted([d for d in docs if d[1] != dirty], key=repr)
+
+
 # 2: urls
 
 
