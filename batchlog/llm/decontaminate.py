@@ -6,7 +6,8 @@ but not none, is one window).  A document is hit where a window occurs in it.
 A window that occurs has all its shingles in the document, so one of them, the
 rarest over all documents, is a sufficient prefix: documents are joined with
 windows by that token only.  Candidates must then lie inside the document
-(length and positional bounds) and agree word by word.
+(length and positional bounds) and agree word by word, by the words' bytes: the
+block's words have codes, and a document's words are looked up by their bytes.
 
 The benchmark is a stated query set.  It is indexed in blocks of at most
 ``block_bytes`` of text, and each block's index, whose size that bounds, is
@@ -14,7 +15,7 @@ broadcast; documents are only scanned, never shuffled, unless there are several
 blocks, whose results are then merged by document.
 
 Defined cases: a null or empty text has no words, is never hit, and is
-returned; null or empty items have no windows; items with a null id are left
+returned; very long texts are read in pieces; null or empty items have no windows; items with a null id are left
 out; repeated documents each give a row; equal items count each; an empty
 benchmark hits nothing; other columns of either table are ignored.
 """
@@ -43,22 +44,46 @@ class Windows:
     """A block of windows of one length, distinct, with the items that hold them."""
 
     length: int
-    words: np.ndarray  # windows x length word hashes
+    words: np.ndarray  # windows x length word codes
     item_from: np.ndarray  # items of window i: items[item_from[i]:item_from[i + 1]]
     items: np.ndarray
     grain: int  # words in a shingle
     shingles: np.ndarray  # windows x (length - grain + 1)
 
 
-def index_items(ids: list, texts: list, width: int, shingle: int) -> list[Windows]:
-    """The distinct windows of a block of items, by length."""
+@dataclass
+class Index:
+    """The windows of a block of items, by length, and the codes of its words; a word is told by its bytes."""
+
+    codes: dict[bytes, int]
+    windows: list[Windows]
+
+    def coded(self, s: textops.Slice) -> np.ndarray:
+        """The words of a slice as codes; -1 for a word that no item has."""
+        if not len(s.start):
+            return np.zeros(0, np.int64)
+        get = self.codes.get
+        return np.array([get(w, -1) for w in s.words], np.int64)[s.codes]
+
+
+def shingles_of(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k codes, by which candidates are found."""
+    return textops.runs_of(textops.mix((codes + 2).astype(textops.U64)), k)
+
+
+def index_items(ids: list, texts: list, width: int, shingle: int) -> Index:
+    """The distinct windows of a block of items."""
+    codes: dict[bytes, int] = {}
     by_length: dict[int, list] = {}
-    for s in textops.slices(pa.array(texts, pa.large_string()), textops.ALNUM_FOLDED):
+    for s in textops.slices(pa.array(texts, pa.large_string()), textops.ALNUM_FOLDED, width - 1):
         for i, row in enumerate(s.rows):
-            words = s.hash[s.first[i] : s.first[i + 1]]
-            if len(words) and ids[row] is not None:
-                k = min(width, len(words))
-                by_length.setdefault(k, []).append((str(ids[row]), np.lib.stride_tricks.sliding_window_view(words, k)))
+            if ids[row] is None or s.first[i] == s.first[i + 1]:
+                continue
+            own = np.array([codes.setdefault(w, len(codes)) for w in s.words], np.int64)[s.codes[s.first[i] : s.first[i + 1]]]
+            # A piece of a long item has windows of the full width only.
+            k = width if s.more or s.base else min(width, len(own))
+            if len(own) >= k:
+                by_length.setdefault(k, []).append((str(ids[row]), np.lib.stride_tricks.sliding_window_view(own, k)))
     out = []
     for k, parts in sorted(by_length.items()):
         words = np.concatenate([w for _, w in parts])
@@ -67,10 +92,10 @@ def index_items(ids: list, texts: list, width: int, shingle: int) -> list[Window
         inverse = inverse.ravel()
         order = np.argsort(inverse, kind="stable")
         grain = min(shingle, k)
-        flat = textops.runs_of(words.ravel(), grain)
+        flat = shingles_of(words.ravel(), grain)
         at = (np.arange(len(words)) * k)[:, None] + np.arange(k - grain + 1)
         out.append(Windows(k, words, np.searchsorted(inverse[order], np.arange(len(words) + 1)), owner[order], grain, flat[at]))
-    return out
+    return Index(codes, out)
 
 
 class Lookup:
@@ -93,19 +118,21 @@ class Lookup:
         return at[ok], key[ok]
 
 
-def shingle_counts(documents: DataFrame, index: list[Windows]) -> dict[int, dict[int, int]]:
-    """How often each shingle of the block occurs in all documents, by shingle length."""
+def shingle_counts(documents: DataFrame, index: Index) -> dict[int, dict[int, int]]:
+    """How often each shingle of the block occurs in all documents, by shingle length (twice, where pieces of a long text overlap)."""
     spark = documents.sparkSession
-    keys = {g: np.unique(np.concatenate([w.shingles.ravel() for w in index if w.grain == g])) for g in {w.grain for w in index}}
-    shared = spark.sparkContext.broadcast(keys)
+    keys = {g: np.unique(np.concatenate([w.shingles.ravel() for w in index.windows if w.grain == g])) for g in {w.grain for w in index.windows}}
+    shared = spark.sparkContext.broadcast((keys, index.codes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = {g: Lookup(k) for g, k in shared.value.items()}
-        sums = {g: np.zeros(len(k), np.int64) for g, k in shared.value.items()}
+        keys, own = shared.value[0], Index(shared.value[1], [])
+        lookups = {g: Lookup(k) for g, k in keys.items()}
+        sums = {g: np.zeros(len(k), np.int64) for g, k in keys.items()}
         for batch in batches:
-            for s in textops.slices(batch.column(0), textops.ALNUM_FOLDED):
+            for s in textops.slices(batch.column(0), textops.ALNUM_FOLDED, max(keys) - 1):
+                codes = own.coded(s)
                 for g, lookup in lookups.items():
-                    at, key = lookup.find(s.runs(g))
+                    at, key = lookup.find(shingles_of(codes, g))
                     key = key[s.whole(g)[at]]
                     sums[g] += np.bincount(key, minlength=len(sums[g]))
         for g, n in sums.items():
@@ -120,10 +147,10 @@ def shingle_counts(documents: DataFrame, index: list[Windows]) -> dict[int, dict
     return out
 
 
-def prefixes(index: list[Windows], counts: dict[int, dict[int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def prefixes(index: Index, counts: dict[int, dict[int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By window length: sorted distinct prefix tokens; the windows of each, with the token's place in them."""
     out = []
-    for w in index:
+    for w in index.windows:
         freq = counts[w.grain]
         n = np.array([freq[x] for x in w.shingles.ravel().tolist()], np.int64).reshape(w.shingles.shape)
         offset = n.argmin(axis=1)
@@ -134,20 +161,24 @@ def prefixes(index: list[Windows], counts: dict[int, dict[int, int]]) -> list[tu
     return out
 
 
-def hits(s: textops.Slice, index: list[Windows], found_by: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hits(s: textops.Slice, index: Index, found_by: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A mark for each word that a window covers; (document, item) pairs."""
-    marks = np.zeros(len(s.hash) + 1, np.int64)
+    codes = index.coded(s)
+    marks = np.zeros(len(codes) + 1, np.int64)
     docs, items = [], []
-    for w, (lookup, starts, windows, offsets) in zip(index, found_by, strict=True):
-        at, key = lookup.find(s.runs(w.grain))
+    for w, (lookup, starts, windows, offsets) in zip(index.windows, found_by, strict=True):
+        at, key = lookup.find(shingles_of(codes, w.grain))
         n = starts[key + 1] - starts[key]
         pick = np.repeat(starts[key] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         begin, window = np.repeat(at, n) - offsets[pick], windows[pick]
-        inside = (begin >= 0) & (begin + w.length <= len(s.hash))
+        inside = (begin >= 0) & (begin + w.length <= len(codes))
         begin, window = begin[inside], window[inside]
         inside = s.doc[begin] == s.doc[begin + w.length - 1]
         begin, window = begin[inside], window[inside]
-        same = (s.hash[begin[:, None] + np.arange(w.length)] == w.words[window]).all(axis=1)
+        same = np.ones(len(begin), bool)
+        for at in range(0, len(begin), 65_536):  # codes are equal where the bytes are
+            part = slice(at, at + 65_536)
+            same[part] = (codes[begin[part, None] + np.arange(w.length)] == w.words[window[part]]).all(axis=1)
         begin, window = begin[same], window[same]
         np.add.at(marks, begin, 1)
         np.add.at(marks, begin + w.length, -1)
@@ -159,6 +190,32 @@ def hits(s: textops.Slice, index: list[Windows], found_by: list[tuple]) -> tuple
     return np.cumsum(marks[:-1]) > 0, np.array(docs, np.int64), np.array(items, object)
 
 
+def found_in(texts: pa.Array, index: Index, found_by: list[tuple], width: int) -> Iterator[tuple[int, np.ndarray, int, list[str]]]:
+    """For each text: how many words it has, the edges of the stretches that are hit, how many words these hold, and the items."""
+    edges_of = lambda hit: np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    tail, edges, hit_before, held = np.zeros(0, bool), [], 0, set()
+    for s in textops.slices(texts, textops.ALNUM_FOLDED, width - 1):
+        hit, docs, names = hits(s, index, found_by)
+        if s.part:  # what it shares with the next piece is counted there
+            hit[: len(tail)] |= tail
+            own = len(hit) - (min(width - 1, len(hit)) if s.more else 0)
+            edges.append(s.base + edges_of(hit[:own]))
+            hit_before += int(hit[:own].sum())
+            held.update(names.tolist())
+            tail = hit[own:].copy()
+            if not s.more:
+                yield s.base + len(hit), np.concatenate(edges), hit_before, [*held]
+                tail, edges, hit_before, held = np.zeros(0, bool), [], 0, set()
+            continue
+        upto = np.concatenate([[0], np.cumsum(hit)])
+        order = np.argsort(docs, kind="stable")
+        docs, names = docs[order], names[order]
+        bounds = np.searchsorted(docs, np.arange(len(s.rows) + 1))
+        n_hit, n_words = np.diff(upto[s.first]), np.diff(s.first)
+        for i in range(len(s.rows)):
+            yield int(n_words[i]), edges_of(hit[s.first[i] : s.first[i + 1]]) if n_hit[i] else np.zeros(0, np.int64), int(n_hit[i]), names[bounds[i] : bounds[i + 1]].tolist()
+
+
 def verdict(n_words: int, n_hit: int, items: list[str]) -> tuple:
     items = sorted(set(items))
     return n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, items
@@ -180,7 +237,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
     for b in range(n_blocks):
         block = (items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)).collect()
         index = index_items([r.item_id for r in block], [r.text for r in block], width, shingle)
-        found = prefixes(index, shingle_counts(documents, index)) if index else []
+        found = prefixes(index, shingle_counts(documents, index)) if index.windows else []
         shared = spark.sparkContext.broadcast((index, found))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=n_blocks == 1) -> Iterator[pa.RecordBatch]:
@@ -188,20 +245,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
             found = [(Lookup(keys), *rest) for keys, *rest in found]
             for batch in batches:
                 rows = []
-                for s in textops.slices(batch.column(1), textops.ALNUM_FOLDED):
-                    hit, docs, names = hits(s, index, found)
-                    upto = np.concatenate([[0], np.cumsum(hit)])
-                    order = np.argsort(docs, kind="stable")
-                    docs, names = docs[order], names[order]
-                    bounds = np.searchsorted(docs, np.arange(len(s.rows) + 1))
-                    n_hit, n_words = np.diff(upto[s.first]), np.diff(s.first)
-                    for i in range(len(s.rows)):
-                        own = names[bounds[i] : bounds[i + 1]].tolist() if bounds[i] < bounds[i + 1] else []
-                        if last:
-                            rows.append((int(n_words[i]), *verdict(int(n_words[i]), int(n_hit[i]), own)))
-                        else:
-                            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[s.first[i] : s.first[i + 1]].astype(np.int8), [0]])))
-                            rows.append((int(n_words[i]), edge.tolist(), own))
+                for n_words, edges, n_hit, own in found_in(batch.column(1), index, found, width):
+                    rows.append((n_words, *verdict(n_words, n_hit, own)) if last else (n_words, edges.tolist(), own))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * (6 if last else 3)
                 if last:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())]

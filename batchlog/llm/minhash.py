@@ -15,10 +15,16 @@ words as one).  Documents are linked where intersection / union reaches
 4. A pair whose similarity, estimated from the share of equal registers less
    those that collide by chance, lies far below the threshold is dropped; the
    others are verified on their full sets.
-5. Linked pairs form components.  Buckets that still hold several components,
-   and more members than the pairs tested there, are searched again, block by
-   block within tasks, for links between members of different components.  So
-   no link is lost to the choice of pairs, and no pairs are written out.
+5. Linked pairs form components.  Large buckets that still hold several
+   components get another centre, a few times, which joins most of what belongs
+   together.  What is left is searched block by block within tasks: first by
+   registers alone for members that may be linked with another component, then
+   these by their full sets.  So no link is lost to the choice of pairs, and no
+   pairs are written out but those with a centre.
+
+A shingle is told by 64 bits made from digests of its words, a set by a 128-bit
+digest; two sets of 10,000 shingles share one by chance once in 10**11 pairs.
+Long texts are read in pieces; a set is held whole (8 bytes a shingle).
 
 Defined cases: null and empty texts, and those of white space, have empty sets
 and are linked with nothing; a null id is linked with nothing and keeps its row
@@ -28,7 +34,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +54,18 @@ _FACTORS = np.random.Generator(np.random.PCG64(textops.SEED + 1)).integers(0, 1
 
 
 def sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every whole text."""
-    for s in textops.slices(texts, textops.SPACED_FOLDED):
+    """(row, sorted distinct shingle hashes) of every whole text; a long one's come together from its pieces."""
+    held: list[np.ndarray] = []
+    for s in textops.slices(texts, textops.SPACED_FOLDED, width - 1):
         runs = s.runs(width)
+        if s.part:
+            held.append(np.unique(runs))
+            if len(held) == 16 or not s.more:
+                held = [np.unique(np.concatenate(held))]
+            if not s.more:
+                own, held = held[0], []
+                yield int(s.rows[0]), own if len(own) else textops.runs_of(s.hash, len(s.hash))
+            continue
         for i, row in enumerate(s.rows):
             f, n = s.first[i], s.first[i + 1] - s.first[i]
             own = runs[f : f + n - width + 1] if n >= width else textops.runs_of(s.hash[f : f + n], n) if n else runs[:0]
@@ -105,7 +120,7 @@ def described(documents: DataFrame) -> DataFrame:
             for row, own in sets(batch.column(1)):
                 sizes[row] = len(own)
                 if len(own):
-                    keys[row] = textops.runs_of(own, len(own))[0], (own * _FACTORS[0]).sum() + textops.U64(len(own))
+                    keys[row] = np.frombuffer(textops.digest(own.tobytes()), "<u8")
                     registers[row] = sketch(own).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(keys[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(keys[:, 1]).view(np.int64)), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "key1", "key2", "registers"])
 
@@ -187,65 +202,94 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, b) between different components in one bucket, as many as join them and no more.
+def _meet(members: DataFrame, block: int, out: str, found: Callable[[tuple, list], list[tuple]]) -> DataFrame:
+    """``found`` of the members of each pair of blocks of a bucket, so that no task holds a whole bucket.
 
     ``members``: (bucket, size, band, id, root, registers, own).  A bucket is cut into
-    blocks of about ``block`` members and each pair of blocks meets in a task,
-    so that no task holds a whole bucket.  Pairs stay in the task: they are
-    estimated from registers, then verified on full sets, each in the first
-    band that its two members share.
+    blocks of about ``block`` members; pairs of members stay in the task.
     """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "id", "root", "registers", "own")
+    names = [c.split()[0] for c in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, key, held = least_estimate(percent), None, []
-
-        def links() -> Iterator[tuple[int, int]]:
-            blocks, bands, ids, roots, raw, sets_ = zip(*held, strict=True)
-            blocks, own = np.array(blocks), [np.frombuffer(x, np.uint64) for x in sets_]
-            regs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, REGISTERS)
-            n = np.array([len(x) for x in own], float)
-            _, roots = np.unique(roots, return_inverse=True)
-            for i in range(len(ids) - 1):
-                other = np.arange(i + 1, len(ids))
-                other = other[(roots[other] != roots[i]) & ((blocks[other] != blocks[i]) | (key[1] == key[2]))]
-                if not len(other):
-                    continue
-                same = regs[other] == regs[i]
-                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == bands[i]
-                other = other[first & (estimate(regs[other], regs[i], n[other], n[i]) >= least)]
-                for j in other.tolist():
-                    if roots[j] != roots[i] and linked(own[i], own[j], percent):
-                        roots[roots == roots[j]] = roots[i]
-                        yield ids[i], ids[j]
-
-        def found() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and (out := list(links())):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        key, held = None, []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (rows := found(key, held)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for batch in batches:
             for bucket, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, lo, hi) != key:
-                    yield from found()
+                    yield from result()
                     key, held = (bucket, lo, hi), []
                 held.append(row)
-        yield from found()
+        yield from result()
 
-    rows = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id")
-    return rows.mapInArrow(run, "a long, b long")
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id").mapInArrow(run, out)
+
+
+def _candidates(key: tuple, held: list, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member: those of other components that its sketch may be linked with in this band first, and all members' roots, to be updated."""
+    blocks, bands, ids, roots, raw, _ = zip(*held, strict=True)
+    blocks, least = np.array(blocks), least_estimate(percent)
+    regs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, REGISTERS)
+    # Sizes only move the correction for chance, which is largest for equal ones.
+    n = np.ones(len(ids))
+    _, roots = np.unique(roots, return_inverse=True)
+    for i in range(len(ids) - 1):
+        other = np.arange(i + 1, len(ids))
+        other = other[(roots[other] != roots[i]) & ((blocks[other] != blocks[i]) | (key[1] == key[2]))]
+        if not len(other):
+            continue
+        first = (regs[other] == regs[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == bands[i]
+        other = other[first & (estimate(regs[other], regs[i], n[other], n[i]) >= least)]
+        if len(other):
+            yield i, other, roots
+
+
+def suspects(members: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+    """(bucket, id) of members whose sketch may be linked with one of another component; ``own`` is not read."""
+
+    def found(key: tuple, held: list) -> list[tuple]:
+        marked: set[int] = set()
+        for i, other, _ in _candidates(key, held, percent):
+            marked.add(i)
+            marked.update(other.tolist())
+        return [(key[0], held[i][2]) for i in sorted(marked)]
 
+    return _meet(members.withColumn("own", F.lit(None).cast("binary")), block, "bucket long, id long", found).distinct()
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+
+def across(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between different components in one bucket, as many as join them and no more.
+
+    Pairs are estimated from registers, then verified on full sets, each in the
+    first band that its two members share.
+    """
+
+    def found(key: tuple, held: list) -> list[tuple]:
+        own, out = [np.frombuffer(row[5], np.uint64) for row in held], []
+        for i, other, roots in _candidates(key, held, percent):
+            for j in other.tolist():
+                if roots[j] != roots[i] and linked(own[i], own[j], percent):
+                    roots[roots == roots[j]] = roots[i]
+                    out.append((held[i][2], held[j][2]))
+        return out
+
+    return _meet(members, block, "a long, b long", found)
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id of its class), kept."""
     small_batches(documents.sparkSession)
     docs = written(described(documents), "sketches")
     some = docs.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n"))
     classes = written(classes, "sketch-classes")
-    sketches = classes.select("id", "registers", "n").dropDuplicates(["id"])
+    sketches = splittable(classes.select("id", "registers", "n").dropDuplicates(["id"]), "sketches-each")
 
     banded = buckets(classes)
     shared = splittable(banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1"), "buckets-shared")
@@ -253,17 +297,29 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = written(plausible(crowded.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), sketches, percent), "pairs")
     known = written(full_sets(documents, crowded.filter("size > 2").select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()), "sets")
     links = written(verified(pairs, known, percent), "links-verified")
-    first = written(components(links), "components")
+    roots = written(components(links), "components")
 
     # Buckets of two were tested in full.  In others, pairs without the smallest id were not.
-    rooted = crowded.filter("size > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = splittable(rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("bucket"), "buckets-mixed")
-    members = rooted.join(mixed, "bucket").join(sketches, "id").join(known, "id").select("bucket", "size", "band", "id", "root", "registers", "own")
-    further = written(across(members, percent), "links-across")
-    if further.isEmpty():
-        roots = first
-    else:
-        roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further))
+    large = crowded.filter("size > 2").select("bucket", "size", "band", "id")
+    edges = lambda more: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    for i in range(rounds):
+        rooted, mixed = _mixed(large, roots, i)
+        if mixed.isEmpty():
+            break
+        # Another centre: most members of a mixed bucket are linked with it or with one before, so few components are left.
+        again = rooted.join(mixed, "bucket").filter("root <> centre_root").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+        more = written(verified(written(plausible(again, sketches, percent), "pairs"), known, percent), "links-verified")
+        if not more.isEmpty():
+            roots = written(edges(more), "components")
+    rooted, mixed = _mixed(large, roots, rounds)
+    if not mixed.isEmpty():
+        members = rooted.join(mixed.select("bucket"), "bucket").join(sketches, "id").select("bucket", "size", "band", "id", "root", "registers")
+        left = written(suspects(members, percent), "suspects")
+        sizes = splittable(left.groupBy("bucket").agg(F.count("*").alias("size")), "suspects-each")
+        chosen = members.drop("size").join(left, ["bucket", "id"]).join(sizes, "bucket").join(known, "id")
+        further = written(across(chosen.select("bucket", "size", "band", "id", "root", "registers", "own"), percent), "links-across")
+        if not further.isEmpty():
+            roots = edges(further)
 
     named = classes.select("key1", "key2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("root", "id").alias("class_id"))
     # One row per class on this side: a class of many copies can be split.
@@ -273,6 +329,14 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _mixed(large: DataFrame, roots: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
+    """Members of large buckets with their components' roots, and of buckets with several of these a centre, another one for each ``i``."""
+    rooted = written(large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "buckets-rooted")
+    centre = F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("order"), "id", "root")).alias("c")
+    mixed = rooted.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), centre).filter("mixed")
+    return rooted, splittable(mixed.select("bucket", F.col("c.id").alias("centre"), F.col("c.root").alias("centre_root")), "buckets-mixed")
+
+
 def deduplicated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents of smallest id in their classes, with all columns; rows that share an id stay or go together."""
     gone = near_duplicates(documents, percent).filter("not kept").select("doc_id").distinct()

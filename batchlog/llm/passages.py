@@ -6,8 +6,9 @@ id, or earlier in the same one) is removed; windows are judged on the input.
 
 1. Anchors.  Runs of ``grain`` words are hashed, and the smallest hash of each
    window is its anchor, so equal windows have equal anchors at equal places.
-   With an anchor go the hash of its context (all words that a window holding
-   it can reach) and its place.
+   With an anchor go a 128-bit digest of its context (all words that a window
+   holding it can reach) and its place.  Texts are split and hashed once; the
+   anchors are written.
 2. Anchors that occur once are dropped (an aggregate, then a join whose other
    side has one row per anchor, so that frequent anchors can be split).
 3. Occurrences with equal contexts agree in all their windows: all but the
@@ -22,6 +23,10 @@ id, or earlier in the same one) is removed; windows are judged on the input.
    for a task.
 5. Every document gathers its removed places and is cut.
 
+Nothing is removed on a rolling hash alone: contexts are equal by digests of
+their bytes, and matchers compare words.  Texts of any length are read in
+pieces, so a task's memory is bounded but for one text and its result.
+
 Ids of documents should be unique.  Rows that agree in id and text are one
 document and get the same result; rows that share an id but not the text are
 told apart by 20 bits of the text's hash and ordered by them.  A null id comes
@@ -37,102 +42,139 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import textops
 from .shared import small_batches, splittable, written
 
 PLACE_BITS = 40
 _PLACE = (1 << PLACE_BITS) - 1
-#: A context, for matchers: ``left`` words lie before the anchor; ``words`` is the text from the first word to the last.
+#: A context, for matchers: ``left`` words lie before the anchor; ``words`` are joined by one space.
 CONTEXT = "h long, doc long, place long, left int, words binary"
 SPAN = "doc long, place long, size int"
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """With the key ``_doc`` and ``_tag``, the hash bits that go above a word's number in a place."""
-    return documents.withColumns(
-        {
-            "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-            "_tag": F.shiftleft(F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND((1 << 20) - 1), PLACE_BITS),
-        }
+    """The key of each row (``doc``; ``tag``, the hash bits that go above a word's number in a place), its text, and all of it as ``row``."""
+    return documents.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
+        F.shiftleft(F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND((1 << 20) - 1), PLACE_BITS).alias("tag"),
+        F.col("text").alias("text"),
+        F.struct("*").alias("row"),
     )
 
 
+def _longs(digests: list[bytes]) -> list[pa.Array]:
+    """The halves of 128-bit digests."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
+
+
+def anchors_of(texts: pa.Array, length: int, grain: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Of every anchor: its text's row, its hash, its word's number, and the digest of its context."""
+    margin, done = length - grain, 0
+    for s in textops.slices(texts, textops.SPACED, margin + length - 1):
+        h, n = s.runs(grain), len(s.start)
+        at = textops.minimiser_positions(h, s.whole(grain), margin + 1)
+        if s.part:
+            # A piece answers for the anchors whose contexts it holds and that no piece before had.
+            at = at[s.base + at >= done]
+            if s.more:
+                at = at[at + length <= n]
+                done = max(done, s.base + n - length + 1)
+            else:
+                done = 0
+        own = s.doc[at]
+        lo, hi = np.maximum(at - margin, s.first[own]), np.minimum(at + length, s.first[own + 1])
+        text, begin, end = s.text, s.at[lo].tolist(), (s.at[hi] - 1).tolist()
+        lefts = (at - lo).astype(np.uint16).tolist()
+        ctx = [textops.digest(b"%d " % left + text[a:b]) for left, a, b in zip(lefts, begin, end, strict=True)]
+        yield s.rows[own], h[at], s.base + at - s.first[own], ctx
+
+
 def anchors(documents: DataFrame, length: int, grain: int) -> DataFrame:
-    """(h, ctx, doc, place) of every anchor of every document."""
-    margin = length - grain
+    """(h, c1, c2, doc, place) of every anchor of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for s in textops.slices(batch.column(2), textops.SPACED):
-                h = s.runs(grain)
-                at = textops.minimiser_positions(h, s.whole(grain), margin + 1)
-                own = s.doc[at]
-                lo, hi = np.maximum(at - margin, s.first[own]), np.minimum(at + length, s.first[own + 1])
-                ctx = textops.spans_of(s.hash, lo, hi) + textops.U64(0x9E3779B97F4A7C15) * (at - lo).astype(np.uint64)
-                row = s.rows[own]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc[row]), pa.array(tag[row] + (at - s.first[own]))], ["h", "ctx", "doc", "place"])
+            for row, h, place, ctx in anchors_of(batch.column(2), length, grain):
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *_longs(ctx), pa.array(doc[row]), pa.array(tag[row] + place)], ["h", "c1", "c2", "doc", "place"])
 
-    return keyed(documents.select("doc_id", "text")).select("_doc", "_tag", "text").mapInArrow(run, "h long, ctx long, doc long, place long")
+    return keyed(documents).select("doc", "tag", "text").mapInArrow(run, "h long, c1 long, c2 long, doc long, place long")
 
 
 def contexts(joined: DataFrame, length: int, grain: int) -> DataFrame:
-    """The words around chosen anchors, from documents joined with ``_chosen``, an array of (h, place)."""
-    margin, names = length - grain, joined.columns
+    """The words around chosen anchors, from rows (text, tag, doc, chosen), ``chosen`` being an array of (h, place, hot)."""
+    margin = length - grain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_at, tag_at, text_at, chosen_at = (names.index(c) for c in ("_doc", "_tag", "text", "_chosen"))
         for batch in batches:
-            doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (doc_at, tag_at))
-            lists = batch.column(chosen_at)
+            doc = batch.column(1).to_numpy(zero_copy_only=False)
+            lists = batch.column(2)
             ends, flat = lists.offsets.to_numpy(), lists.values
-            h, place = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            for s in textops.slices(batch.column(text_at), textops.SPACED):
-                raw = s.data.tobytes()
-                out = []
+            h, place, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            done = 0
+            for s in textops.slices(batch.column(0), textops.SPACED, margin + length - 1):
+                out, n = [], len(s.start)
                 for i, row in enumerate(s.rows):
-                    f, n = s.first[i], s.first[i + 1]
-                    for j in range(ends[row], ends[row + 1]):
-                        if place[j] >> PLACE_BITS == tag[row] >> PLACE_BITS:
-                            at = f + (place[j] & _PLACE)
-                            lo, hi = max(f, at - margin), min(n, at + length)
-                            out.append((h[j], doc[row], place[j], at - lo, raw[s.start[lo] : s.end[hi - 1]]))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in CONTEXT.split(", ")])
+                    f, end = s.first[i], s.first[i + 1]
+                    own = np.arange(ends[row], ends[row + 1])
+                    if s.part:
+                        number = place[own] & _PLACE
+                        own = own[(number >= done) & ((number + length <= s.base + n) if s.more else (number >= 0))]
+                    for j in own.tolist():
+                        at = f + int(place[j] & _PLACE) - s.base
+                        lo, hi = max(f, at - margin), min(end, at + length)
+                        out.append((h[j], doc[row], place[j], at - lo, s.span(lo, hi), hot[j]))
+                done = max(done, s.base + n - length + 1) if s.more else 0
+                for cut in range(0, len(out), 4096):
+                    cols = list(zip(*out[cut : cut + 4096], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], [*_names(CONTEXT), "hot"])
 
-    return joined.mapInArrow(run, CONTEXT)
+    return joined.select("text", "doc", "chosen").mapInArrow(run, CONTEXT + ", hot boolean")
+
+
+def _names(fields: str) -> list[str]:
+    return [c.split()[0] for c in fields.split(", ")]
 
 
 def halves(rows: DataFrame, length: int, grain: int) -> DataFrame:
     """Contexts of groups whose windows have ``lo`` to ``hi`` words left of the anchor, by half of that range.
 
-    The new key is a hash of what all windows of a half have: the anchor with
+    The new key is a digest of what all windows of a half have: the anchor with
     the least words to either side.  Contexts too short for that leave the
-    half.  ``full`` is a hash of all words that its windows have; null where a
-    context is too short for them all.
+    half.  ``f1`` and ``f2`` are a digest of all words that its windows have; null
+    where a context is too short for them all.
     """
     margin = length - grain
+    out = CONTEXT + ", lo int, hi int, f1 long, f2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (3, 5, 6))
-            for s in textops.slices(batch.column(4).cast(pa.string()), textops.SPACED):
-                first, last = s.first[:-1], s.first[1:]
-                at = first + left[s.rows]
-                middle = (lo[s.rows] + hi[s.rows]) // 2
-                for a, b, some in ((lo[s.rows], middle, middle >= lo[s.rows]), (middle + 1, hi[s.rows], middle < hi[s.rows])):
-                    begin, end = at - a, at + grain + margin - b
-                    ok = np.flatnonzero(some & (begin >= first) & (end <= last))
-                    key = textops.mix(textops.spans_of(s.hash, begin[ok], end[ok]) + textops.U64(1009) * a[ok].astype(np.uint64))
-                    begin, end = at[ok] - b[ok], at[ok] + length - a[ok]
-                    whole = (begin >= first[ok]) & (end <= last[ok])
-                    full = textops.spans_of(s.hash, np.maximum(begin, first[ok]), np.minimum(end, last[ok]))
-                    own = batch.take(pa.array(s.rows[ok]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own.columns[1:5], pa.array(a[ok].astype(np.int32)), pa.array(b[ok].astype(np.int32)), pa.array(full.view(np.int64), mask=~whole)], [*batch.schema.names[:7], "full"])
-
-    return rows.mapInArrow(run, CONTEXT + ", lo int, hi int, full long")
+            for s in textops.slices(batch.column(4), textops.SPACED, 4 * length):
+                keys, fulls, own, a_of, b_of = [], [], [], [], []
+                for i, row in enumerate(s.rows.tolist()):
+                    first, last = int(s.first[i]), int(s.first[i + 1])
+                    at, middle = first + int(left[row]), int(lo[row] + hi[row]) // 2
+                    for a, b in ((int(lo[row]), middle), (middle + 1, int(hi[row]))):
+                        begin, end = at - a, at + grain + margin - b
+                        if a > b or begin < first or end > last:
+                            continue
+                        keys.append(textops.digest(b"%d " % a + s.span(begin, end))[:8])
+                        begin, end = at - b, at + length - a
+                        fulls.append(textops.digest(s.span(begin, end)) if begin >= first and end <= last else None)
+                        own.append(row)
+                        a_of.append(a)
+                        b_of.append(b)
+                if own:
+                    mask = np.array([x is None for x in fulls])
+                    f = np.frombuffer(b"".join(x or bytes(16) for x in fulls), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), "<i8")), *batch.take(pa.array(own)).columns[1:5], pa.array(a_of, pa.int32()), pa.array(b_of, pa.int32()), *[pa.array(np.ascontiguousarray(f[:, k]), mask=mask) for k in (0, 1)]], _names(out))
+
+    return rows.mapInArrow(run, out)
 
 
 def bisected(hot: DataFrame, length: int, grain: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -141,7 +183,7 @@ def bisected(hot: DataFrame, length: int, grain: int, limit: int) -> tuple[list[
     rows = hot.withColumns({"lo": F.lit(0), "hi": F.lit(length - grain)})
     for _ in range((length - grain).bit_length() + 1):
         rows = written(halves(rows, length, grain), "contexts")
-        equal = (F.count("full") == F.count("*")) & (F.min("full") == F.max("full"))
+        equal = (F.count("f1") == F.count("*")) & (F.min("f1") == F.max("f1")) & (F.min("f2") == F.max("f2"))
         sizes = rows.groupBy("h").agg(F.count("*").alias("n"), F.coalesce(equal, F.lit(False)).alias("equal")).filter("n > 1")
         sized = rows.join(splittable(sizes, "context-groups"), "h")
         groups.append(sized.filter(F.col("n") <= limit).select(names))
@@ -182,19 +224,18 @@ def _joined(parts: list[pa.RecordBatch]) -> tuple:
 
 
 def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with keys, and by document what to remove: (_doc, _marks), marks being (kind, place, size)."""
-    found = anchors(documents, length, grain)
+    """Documents with keys, and by document what to remove: (doc, tag, marks), marks being (kind, place, size)."""
+    found = written(anchors(documents, length, grain), "anchors")
     repeated = splittable(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-repeated")
     occurrences = written(found.join(repeated, "h", "left_semi"), "anchors")
-    firsts = occurrences.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("first")).select("h", "first.doc", "first.place")
+    firsts = occurrences.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc", "place")).alias("first")).select("h", "first.doc", "first.place")
+    tag = F.shiftleft(F.shiftright("place", PLACE_BITS), PLACE_BITS)
     # Contexts of an anchor; one row per anchor on the other side of the join.
     many = splittable(firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "anchors-many")
-    chosen = firsts.join(many, "h").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("h", "place", (F.col("n") > limit).alias("hot"))).alias("_all"))
+    chosen = firsts.join(many, "h").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("h", "place", (F.col("n") > limit).alias("hot"))).alias("chosen"))
     docs = keyed(documents)
-    pick = lambda hot: F.transform(F.filter("_all", lambda x: x["hot"] == hot), lambda x: F.struct(x["h"], x["place"]))
-    joined = docs.join(chosen, "_doc")
-    cold = contexts(joined.withColumn("_chosen", pick(False)).drop("_all"), length, grain)
-    hot = contexts(joined.withColumn("_chosen", pick(True)).drop("_all").filter(F.size("_chosen") > 0), length, grain)
+    all_contexts = written(contexts(docs.select("doc", "tag", "text").join(chosen, ["doc", "tag"]), length, grain), "contexts")
+    cold, hot = all_contexts.filter("not hot").drop("hot"), all_contexts.filter("hot").drop("hot")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int]] = []
@@ -213,68 +254,112 @@ def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, lim
     found_spans = cold.repartition("h").sortWithinPartitions("h", "doc", "place").mapInArrow(match, SPAN)
     for x in spans:
         found_spans = found_spans.unionByName(x)
-    mark = lambda df, kind, size: df.select("doc", F.struct(F.lit(kind).cast("byte").alias("kind"), F.col("place"), size.cast("int").alias("size")).alias("mark"))
+    mark = lambda df, kind, size: df.select("doc", "place", F.struct(F.lit(kind).cast("byte").alias("kind"), F.col("place"), size.cast("int").alias("size")).alias("mark"))
     marks = mark(occurrences, 0, F.lit(0)).unionByName(mark(firsts, 1, F.lit(0))).unionByName(mark(found_spans, 2, F.col("size")))
     # A document's marks are as many as its words at most.
-    return docs, marks.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("mark").alias("_marks"))
+    return docs, marks.groupBy("doc", tag.alias("tag")).agg(F.collect_list("mark").alias("marks"))
 
 
 def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc", "place", "size"])
 
 
-def cover(n: int, marks_kind: np.ndarray, marks_place: np.ndarray, marks_size: np.ndarray, length: int, grain: int) -> np.ndarray:
-    """Which of n words are removed, by the marks of one document."""
-    margin = length - grain
-    edge = np.zeros(n + 1, np.int64)
-    again = np.setdiff1d(marks_place[marks_kind == 0], marks_place[marks_kind == 1])
-    np.add.at(edge, np.maximum(again - margin, 0), 1)
-    np.add.at(edge, np.minimum(again + length, n), -1)
-    some = marks_kind == 2
-    np.add.at(edge, marks_place[some], 1)
-    np.add.at(edge, marks_place[some] + marks_size[some], -1)
-    return np.cumsum(edge[:-1]) > 0
+def cover(kind: np.ndarray, place: np.ndarray, size: np.ndarray, length: int, grain: int) -> np.ndarray:
+    """The stretches of words to remove, as rows (from, up to), apart and in order, by the marks of one document."""
+    again = np.setdiff1d(place[kind == 0], place[kind == 1])
+    some = kind == 2
+    begin = np.concatenate([np.maximum(again - (length - grain), 0), place[some]])
+    end = np.concatenate([again + length, place[some] + size[some]])
+    if not len(begin):
+        return np.zeros((0, 2), np.int64)
+    by = np.argsort(begin, kind="stable")
+    begin, end = begin[by], np.maximum.accumulate(end[by])
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+    return np.stack([begin[new], end[np.append(new[1:], len(end)) - 1]], axis=1)
 
 
-def cut(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int = 8000) -> DataFrame:
-    """The documents with repeated passages cut from ``text``, and ``removal``: (n_words, n_removed, kept_sha256, spans).
+def trimmed(parts: Iterator[tuple[textops.Slice, int]], gone: np.ndarray) -> tuple[int, int, str, list[int], list[tuple[int, int]]]:
+    """A document's number of words, how many go, the digest of those kept, the spans that go, and the stretches of bytes that stay.
 
-    Spans are pairs of word numbers, from and up to.  Texts without a repeat are left as they are; a column ``removal`` of the input is replaced.
+    ``parts`` are its pieces, as a slice and its number there.
+    """
+    sha, n, stay, kept = hashlib.sha256(), 0, 0, []
+    for s, i in parts:
+        f, m = int(s.first[i]), int(s.first[i + 1] - s.first[i])
+        at, upto = n, n + m
+        stretches = []
+        j = int(np.searchsorted(gone[:, 1], at, "right"))
+        while j < len(gone) and gone[j, 0] < upto:
+            if gone[j, 0] > at:
+                stretches.append((at, int(gone[j, 0])))
+            at = int(gone[j, 1])
+            j += 1
+        if at < upto:
+            stretches.append((at, upto))
+        for a, b in stretches:
+            lo, hi = f + a - n, f + b - n
+            sha.update((b" " if stay else b"") + s.span(lo, hi))
+            begin, end = (int(x) + s.origin - int(s.bounds[i]) for x in (s.start[lo], s.end[hi - 1]))
+            if kept and kept[-1][2] == a:
+                kept[-1][1:] = [end, b]
+            else:
+                kept.append([begin, end, b])
+            stay += b - a
+        n = upto
+    spans = np.minimum(gone[gone[:, 0] < n], n).ravel().tolist()
+    return n, n - stay, sha.hexdigest(), spans, [(a, b) for a, b, _ in kept]
+
+
+def documents_of(texts: pa.Array) -> Iterator[tuple[int, Iterator[tuple[textops.Slice, int]]]]:
+    """Each row of a column with its pieces; these are to be used up before the next row."""
+    own = textops.slices(texts, textops.SPACED)
+    for s in own:
+        if s.more:
+
+            def pieces(s=s):
+                while True:
+                    yield s, 0
+                    if not s.more:
+                        return
+                    s = next(own)
+
+            yield int(s.rows[0]), pieces()
+        else:
+            for i, row in enumerate(s.rows.tolist()):
+                yield row, iter([(s, i)])
+
+
+def cut(documents: DataFrame, length: int, grain: int, matcher: Matcher, limit: int, into: str = "removal") -> DataFrame:
+    """The documents with repeated passages cut from ``text``, and a column ``into``: (n_words, n_removed, kept_sha256, spans).
+
+    Spans are pairs of word numbers, from and up to.  Texts without a repeat are
+    left as they are.  Columns may have any names; one named as ``into`` is replaced.
     """
     small_batches(documents.sparkSession)
-    documents = documents.drop("removal")
+    documents = documents.drop(into)
     names = documents.columns
     docs, marks = removed(documents, length, grain, matcher, limit)
-    joined = docs.join(marks, "_doc", "left")
-    order = joined.columns
+    joined = docs.join(marks, ["doc", "tag"], "left").select("row", "marks")
+    text_at = names.index("text")
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_at, tag_at, marks_at = (order.index(c) for c in ("text", "_tag", "_marks"))
         # In small pieces, as texts are held several times over.
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            tag, lists = batch.column(tag_at).to_numpy(zero_copy_only=False), batch.column(marks_at)
+            columns, lists = batch.column(0).flatten(), batch.column(1)
             begin, flat = lists.offsets.to_numpy(), lists.values
             k, p, z = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            known = batch.column(text_at).is_valid().to_numpy(zero_copy_only=False)
+            offsets, data = textops.buffers(columns[text_at])
             texts, info = [], []
-            for s in textops.slices(batch.column(text_at), textops.SPACED):
-                raw = s.data.tobytes()
-                edges = s.bounds
-                for i, row in enumerate(s.rows):
-                    f, n = int(s.first[i]), int(s.first[i + 1] - s.first[i])
-                    own = slice(begin[row], begin[row + 1])
-                    mine = (p[own] >> PLACE_BITS) == (tag[row] >> PLACE_BITS)
-                    gone = cover(n, k[own][mine], p[own][mine] & _PLACE, z[own][mine], length, grain) if mine.any() else np.zeros(n, bool)
-                    whole = raw[edges[i] : edges[i + 1]]
-                    flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    if len(flips):
-                        kept = np.flatnonzero(np.diff(np.concatenate([[False], ~gone, [False]]).astype(np.int8)))
-                        whole = b"\n".join(raw[s.start[f + a] : s.end[f + b - 1]] for a, b in zip(kept[::2], kept[1::2], strict=True))
-                    texts.append(whole if known[row] else None)
-                    info.append({"n_words": n, "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(b" ".join(whole.split())).hexdigest(), "spans": flips.tolist()})
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(order.index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(info, kind)], [*names, "removal"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, removal struct<n_words: bigint, n_removed: bigint, kept_sha256: string, spans: array<bigint>>")
+            for row, parts in documents_of(columns[text_at]):
+                own = slice(begin[row], begin[row + 1])
+                n_words, n_removed, sha, spans, kept = trimmed(parts, cover(k[own], p[own] & _PLACE, z[own].astype(np.int64), length, grain))
+                raw = data[offsets[row] : offsets[row + 1]]
+                texts.append(b"\n".join(raw[a:b].tobytes() for a, b in kept) if n_removed else raw.tobytes())
+                info.append({"n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "spans": spans})
+            known = columns[text_at].is_valid().to_numpy(zero_copy_only=False)
+            columns[text_at] = pa.array(texts, pa.binary(), mask=~known).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(info, kind)], [*names, into])
+
+    out = StructType([*documents.schema.fields, StructField(into, StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, spans array<long>"))])
+    return joined.mapInArrow(run, out)

@@ -7,7 +7,8 @@ whose sums are formed per partition and added up row by row of the matrix.
 Isotonic regression on other labelled rows turns raw scores into probabilities.
 
 Defined cases: a null or empty text has statistics of zero and is scored like
-any other; repeated rows each give a row; a document labelled twice counts as
+any other; long texts are read in pieces; repeated rows each give a row, and
+each is learned from if its id is labelled; a document labelled twice counts as
 good if at least half its labels say so; null labels and ids are not learned
 from; without labels every score is 0.5; other columns are never read.
 """
@@ -41,38 +42,48 @@ def _kinds() -> np.ndarray:
 _LINE = np.ones(256, bool)
 _LINE[[10, 13]] = False
 _KIND = _kinds()
-LINES = textops.Splitter(_LINE, fold_case=False)
+#: Lines; of a long text, one of many MB counts as several.
+LINES = textops.Splitter(_LINE, fold_case=False, most=8 << 20)
 N_STATISTICS = _KINDS + 9
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of N_STATISTICS numbers for each whole text."""
-    out = []
-    for s, lines in zip(textops.slices(texts, textops.SPACED), textops.slices(texts, LINES), strict=True):
-        n = len(s.rows)
-        owner = np.repeat(np.arange(n), np.diff(s.bounds))
-        counts = np.bincount(owner * _KINDS + _KIND[s.data], minlength=n * _KINDS).reshape(n, _KINDS).astype(float)
-        chars = np.maximum(counts.sum(axis=1) - counts[:, 11], 1)  # a character of several bytes counts once
-        shares = counts / chars[:, None]
-        words, length = np.diff(s.first), (s.end - s.start).astype(float)
-        many, n_lines = np.maximum(words, 1), np.diff(lines.first)
-        mean = np.bincount(s.doc, length, n) / many
-        spread = np.sqrt(np.maximum(np.bincount(s.doc, length**2, n) / many - mean**2, 0))
+    n = len(texts)
+    counts, sums = np.zeros((n, _KINDS)), np.zeros((n, 4))
+    distinct, lines = np.zeros(n), np.zeros((n, 2))
+    seen = Seen()
+    for s in textops.slices(texts, textops.SPACED):
+        m, length = len(s.rows), (s.end - s.start).astype(float)
+        owner = np.repeat(np.arange(m), np.diff(s.bounds))
+        counts[s.rows] += np.bincount(owner * _KINDS + _KIND[s.data], minlength=m * _KINDS).reshape(m, _KINDS)
         ending = _KIND[s.data[np.maximum(s.end - 1, 0)]]
-        odd = np.bincount(s.doc, (ending >= 7) & (ending <= 10), n) / many
-        out.append(
-            np.column_stack(
-                [shares, np.log1p(chars), np.log1p(words), mean, spread, _distinct(s) / many, odd, np.log1p(n_lines), _distinct(lines) / np.maximum(n_lines, 1), words / np.maximum(n_lines, 1) / 100]
-            )
-        )
-    return np.concatenate(out) if out else np.zeros((0, N_STATISTICS))
-
-
-def _distinct(s: textops.Slice) -> np.ndarray:
-    order = np.lexsort((s.hash, s.doc))
-    doc, h = s.doc[order], s.hash[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, bool)
-    return np.bincount(doc[new], minlength=len(s.rows))
+        sums[s.rows] += np.column_stack([np.diff(s.first), *(np.bincount(s.doc, w, m) for w in (length, length**2, (ending >= 7) & (ending <= 10)))])
+        distinct[s.rows] += seen.distinct(s)
+    for s in textops.slices(texts, LINES):
+        lines[s.rows] += np.column_stack([np.diff(s.first), seen.distinct(s)])
+    chars = np.maximum(counts.sum(axis=1) - counts[:, 11], 1)  # a character of several bytes counts once
+    words, many, n_lines = sums[:, 0], np.maximum(sums[:, 0], 1), lines[:, 0]
+    mean = sums[:, 1] / many
+    spread = np.sqrt(np.maximum(sums[:, 2] / many - mean**2, 0))
+    own = np.maximum(n_lines, 1)
+    return np.column_stack([counts / chars[:, None], np.log1p(chars), np.log1p(words), mean, spread, distinct / many, sums[:, 3] / many, np.log1p(n_lines), lines[:, 1] / own, words / own / 100])
+
+
+class Seen:
+    """Counts distinct words (or lines) by document; of a long one, over its pieces."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+
+    def distinct(self, s: textops.Slice) -> np.ndarray:
+        if s.part:
+            self.held.append(np.unique(s.hash))
+            if len(self.held) == 16 or not s.more:
+                self.held = [np.unique(np.concatenate(self.held))]
+            return np.array([0.0 if s.more else len(self.held.pop())])
+        pairs = np.unique(s.doc * max(len(s.words), 1) + s.codes) if len(s.start) else np.zeros(0, np.int64)
+        return np.bincount(pairs // max(len(s.words), 1), minlength=len(s.rows)) if len(pairs) else np.zeros(len(s.rows))
 
 
 def described(documents: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from . import passages, textops
+from . import passages
 
 BLOCK = 4096
 
@@ -41,18 +42,17 @@ def match(groups: Iterator[tuple], length: int) -> Iterator[tuple[int, int, int]
 def _sorted(block: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
     anchor = np.repeat(np.arange(len(block)), [len(g[0]) for g in block])
     doc, place, left = (np.concatenate([g[i] for g in block]) for i in range(3))
-    words = pa.array([w for g in block for w in g[3]], pa.binary()).cast(pa.large_string())
     n = len(doc)
-    right = np.zeros((n, length), np.uint64)
-    before = np.zeros((n, length), np.uint64)
-    n_right, n_left = np.zeros(n, np.int64), left.astype(np.int64)
-    for s in textops.slices(words, textops.SPACED):
-        for i, row in enumerate(s.rows):
-            own, l = s.hash[s.first[i] : s.first[i + 1]], left[row]  # noqa: E741
-            size = min(len(own) - l, length)
-            right[row, :size] = own[l : l + size]
-            before[row, :l] = own[:l][::-1]
-            n_right[row] = size
+    # Words as codes, from 1; equal where their bytes are.
+    words = pc.split_pattern(pa.array([w for g in block for w in g[3]], pa.binary()), b" ")
+    ends = words.offsets.to_numpy()
+    codes = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    size, n_left = np.diff(ends), left.astype(np.int64)
+    n_right = np.minimum(size - n_left, length)
+    across = np.arange(length)[None, :]
+    codes = np.append(codes, 0)
+    right = codes[np.where(across < n_right[:, None], ends[:-1, None] + n_left[:, None] + across, -1)]
+    before = codes[np.where(across < n_left[:, None], ends[:-1, None] + n_left[:, None] - 1 - across, -1)]
     # Sort the suffixes, within their anchors.
     order = np.lexsort((*right.T[::-1], anchor))
     anchor, doc, place, right, before, n_right, n_left = (x[order] for x in (anchor, doc, place, right, before, n_right, n_left))
@@ -62,10 +62,10 @@ def _sorted(block: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
         shared[1:] = np.minimum.accumulate(right[1:] == right[:-1], axis=1).sum(axis=1)
         shared[1:] = np.minimum(shared[1:], np.minimum(n_right[1:], n_right[:-1])) * (anchor[1:] == anchor[:-1])
     spans = []
-    extended = np.zeros(n, np.uint64)
+    extended = np.zeros(n, np.int64)
     for o in range(length):  # words of the window to the left of the anchor
-        if o:
-            extended = textops.mix(extended + before[:, o - 1])
+        if o:  # ranks of the left parts of that length
+            _, extended = np.unique(extended * len(codes) + before[:, o - 1], return_inverse=True)
         ok = (n_left >= o) & (n_right >= length - o)
         if not ok.any():
             continue
@@ -86,6 +86,6 @@ def _sorted(block: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
         yield from zip(d[cut].tolist(), p[cut].tolist(), (p[ends[: len(cut)]] + length - p[cut]).tolist(), strict=True)
 
 
-def remove_passages(documents: DataFrame, length: int = 50, grain: int = 12, limit: int = 8000) -> DataFrame:
+def remove_passages(documents: DataFrame, length: int = 50, grain: int = 12, limit: int = 1000, into: str = "removal") -> DataFrame:
     """Documents without the words of windows of ``length`` words that came earlier; see ``passages.cut``."""
-    return passages.cut(documents, length, grain, match, limit)
+    return passages.cut(documents, length, grain, match, limit, into)

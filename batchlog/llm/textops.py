@@ -1,29 +1,36 @@
-"""Vectorised word splitting and rolling hashes over Arrow string columns.
+"""Word splitting, exact word codes and hashes over Arrow string columns.
 
 Everything here works on whole texts, on the UTF-8 bytes that Arrow already
-holds, so no Python string is made per word.  A batch is handled in slices of
-about ``SLICE_BYTES`` of text; a longer document forms a slice of its own.
-
-Hashes are 64-bit polynomial hashes (odd multipliers modulo 2**64) of random
-byte values, finished by a mixing step.  They depend on nothing but the bytes,
-so all executors and all runs agree.
+holds.  A batch is handled in slices of about ``SLICE_BYTES`` of text.  A
+longer document is cut between words into pieces, each of which repeats the
+last ``overlap`` words of the one before, so memory is bounded by the slice
+and not by the text.
+
+Words are told apart by their bytes (Arrow's dictionary encoding), and a word's
+hash is the start of its BLAKE2b digest, so no choice of words makes two of them
+collide by construction.  Runs of words are hashed by joining hashes of halves
+with a mixing step, which has no algebraic structure to exploit either.  Hashes
+only find candidates; what is final rests on bytes or on 128-bit digests of
+them (``digest``).  They depend on nothing but the bytes, so all executors and
+all runs agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
 U64 = np.uint64
-#: Odd multipliers and the seed of the byte values; fixed so that runs agree.
-BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
-WORD_MULTIPLIER = 0xC2B2AE3D27D4EB4F
 SEED = 20240229
 
 _MASK = (1 << 64) - 1
+#: Hashes of short words that were met before, at most so many.
+_KNOWN: dict[bytes, bytes] = {}
+_KNOWN_MOST, _KNOWN_BYTES = 1 << 17, 48
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,35 +42,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class Powers:
-    """Growing tables of m**i and m**-i modulo 2**64."""
+def digest(raw: bytes) -> bytes:
+    """128 bits that stand for some bytes."""
+    return blake2b(raw, digest_size=16).digest()
 
-    def __init__(self, multiplier: int):
-        self.m, self.inv = multiplier, pow(multiplier, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
 
-    def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.m, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inv, k, 1 << 64))])
-        return self.up, self.down
+def _hashed(word: bytes) -> bytes:
+    h = blake2b(word, digest_size=8).digest()
+    if len(word) <= _KNOWN_BYTES:
+        if len(_KNOWN) >= _KNOWN_MOST:
+            _KNOWN.clear()
+        _KNOWN[word] = h
+    return h
 
 
-_BYTES, _WORDS = Powers(BYTE_MULTIPLIER), Powers(WORD_MULTIPLIER)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    known = _KNOWN.get
+    return np.frombuffer(b"".join([known(w) or _hashed(w) for w in words]), "<u8")
 
 
 class Splitter:
-    """Which bytes belong to words, and which byte stands for which."""
+    """Which bytes belong to words, and which byte stands for which; a word over ``most`` bytes may be cut in a long text."""
 
-    def __init__(self, is_word: np.ndarray, fold_case: bool):
-        self.is_word = is_word
-        to = np.arange(256)
+    def __init__(self, is_word: np.ndarray, fold_case: bool, most: int | None = None):
+        self.is_word, self.most = is_word, most
+        self.fold = None
         if fold_case:
-            to[65:91] += 32
-        self.fold = to.astype(np.uint8)
-        values = np.random.Generator(np.random.PCG64(SEED)).integers(1, _MASK, 256, dtype=np.uint64, endpoint=True)
-        self.value = values[to]
+            self.fold = np.arange(256, dtype=np.uint8)
+            self.fold[65:91] += 32
 
 
 def _spaces() -> np.ndarray:
@@ -88,17 +94,21 @@ ALNUM_FOLDED = Splitter(_letters_digits(), fold_case=True)
 
 
 class Slice:
-    """The words of a few whole documents.
+    """The words of a few whole documents, or of a piece (``part``) of a long one.
 
-    ``rows`` are their places in the batch; document ``i`` has the words
+    ``rows`` are the documents' places in the batch; document ``i`` has the words
     ``first[i]:first[i+1]`` and the bytes ``bounds[i]:bounds[i+1]`` of ``data``;
-    ``start``/``end`` are places in ``data``.
+    ``start``/``end`` are places in ``data``.  Of a piece, ``base`` is the number
+    of the document's words before it, ``skip`` how many of its words the piece
+    before had too, ``origin`` the place of its first byte in the document, and
+    ``more`` whether another follows.
     """
 
-    __slots__ = ("data", "rows", "first", "start", "end", "hash", "doc", "bounds", "_sums")
+    __slots__ = ("data", "rows", "first", "start", "end", "doc", "bounds", "base", "skip", "origin", "more", "part", "_inside", "_text", "_at", "_codes", "_words", "_hash")
 
-    def __init__(self, data, rows, bounds, splitter: Splitter):
-        self.data, self.rows, self.bounds = data, rows, bounds
+    def __init__(self, data, rows, bounds, splitter: Splitter, base: int = 0, skip: int = 0, origin: int = 0, more: bool = False, part: bool = False):
+        data = data if splitter.fold is None else splitter.fold[data]
+        self.data, self.rows, self.bounds, self.base, self.skip, self.origin, self.more, self.part = data, rows, bounds, base, skip, origin, more, part
         n = len(data)
         inside = np.zeros(n + 2, np.int8)
         inside[1:-1] = splitter.is_word[data]
@@ -111,20 +121,70 @@ class Slice:
         if len(joins):
             self.start = np.sort(np.concatenate([self.start, joins]))
             self.end = np.sort(np.concatenate([self.end, joins]))
-        up, down = _BYTES.need(n + 1)
-        sums = np.empty(n + 1, U64)
-        sums[0] = 0
-        np.cumsum(splitter.value[data] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
-        self._sums = sums
+        self._inside = inside[1:-1].view(bool)
         self.first = np.searchsorted(self.start, bounds)
         self.doc = np.repeat(np.arange(len(rows)), np.diff(self.first))
+        self._text = self._codes = self._hash = None
+
+    def _spell(self) -> None:
+        at = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start + 1, out=at[1:])
+        out, keep = np.full(at[-1], 32, np.uint8), np.ones(at[-1], bool)
+        keep[at[1:] - 1] = False
+        out[keep] = self.data[self._inside]
+        self._text, self._at = out.tobytes(), at
+
+    @property
+    def text(self) -> bytes:
+        """All words, each followed by one space; word i lies at ``at[i]``."""
+        if self._text is None:
+            self._spell()
+        return self._text
+
+    @property
+    def at(self) -> np.ndarray:
+        if self._text is None:
+            self._spell()
+        return self._at
+
+    def span(self, lo: int, hi: int) -> bytes:
+        """The words from lo up to hi, joined by one space."""
+        return self.text[self.at[lo] : self.at[hi] - 1] if hi > lo else b""
+
+    def _encode(self) -> None:
+        text, at = self.text, self.at
+        small = at[-1] < 1 << 31
+        buffers = [None, pa.py_buffer(at.astype(np.int32) if small else at), pa.py_buffer(text)]
+        own = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(at) - 1, buffers).dictionary_encode()
+        self._codes, self._words = own.indices.to_numpy(), own.dictionary.to_pylist()
+
+    @property
+    def codes(self) -> np.ndarray:
+        """For each word, its place in ``words``; equal where the bytes are."""
+        if self._codes is None:
+            self._encode()
+        return self._codes
+
+    @property
+    def words(self) -> list[bytes]:
+        """The distinct words, each with a space at its end."""
+        if self._codes is None:
+            self._encode()
+        return self._words
+
+    @property
+    def hash(self) -> np.ndarray:
+        if self._hash is None:
+            self._hash = hashes_of(self.words)[self.codes] if len(self.start) else np.zeros(0, U64)
+        return self._hash
 
     def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The words of more than ``size`` bytes, and hashes of their first ``size`` bytes."""
+        if not len(self.start):
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        short = hashes_of([w[:size] for w in self.words])
         long = np.flatnonzero(self.end - self.start > size)
-        begin = self.start[long]
-        return long, mix((self._sums[begin + size] - self._sums[begin]) * _BYTES.down[begin] + U64(size << 32))
+        return long, short[self.codes[long]]
 
     def runs(self, k: int) -> np.ndarray:
         """Hashes of all runs of k words of the slice (also across documents; see ``whole``)."""
@@ -132,56 +192,81 @@ class Slice:
 
     def whole(self, k: int) -> np.ndarray:
         """Whether the run of k words from each start lies in one document."""
-        n = len(self.hash) - k + 1
+        n = len(self.start) - k + 1
         return self.doc[:n] == self.doc[k - 1 :] if n > 0 else np.zeros(0, bool)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0x9E3779B97F4A7C15) ^ (b * U64(0xC2B2AE3D27D4EB4F) + U64(0x165667B19E3779F9)))
+
+
 def runs_of(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive word hashes."""
+    """Hashes of all runs of k consecutive word hashes, joined from runs of powers of two."""
     n = len(words)
-    if n < k:
+    if n < k or k < 1:
         return np.zeros(0, U64)
-    up, down = _WORDS.need(n + 1)
-    sums = np.empty(n + 1, U64)
-    sums[0] = 0
-    np.cumsum(words * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + U64(k))
-
-
-def spans_of(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of words from lo up to hi."""
-    up, down = _WORDS.need(len(words) + 1)
-    sums = np.empty(len(words) + 1, U64)
-    sums[0] = 0
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U64))
+    h, size = words, 1
+    while 2 * size <= k:
+        h = _joined(h[: len(h) - size], h[size:])
+        size *= 2
+    if size < k:
+        h = _joined(h[: n - k + 1], h[k - size :])
+    return h
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls have no bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if pa.types.is_null(texts.type):
+        texts = texts.cast(pa.string())
     if texts.null_count:
-        texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
-    if not wide and not pa.types.is_string(texts.type):
+        texts = texts.fill_null("" if not pa.types.is_binary(texts.type) else b"")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    if not wide and not (pa.types.is_string(texts.type) or pa.types.is_binary(texts.type)):
         texts, wide = texts.cast(pa.large_string()), True
     _, at, data = texts.buffers()
     offsets = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if at else np.zeros(len(texts) + 1, np.int64)
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def slices(texts: pa.Array, splitter: Splitter) -> Iterator[Slice]:
-    """Every document of a string column, in order, in slices of bounded text."""
+def slices(texts: pa.Array, splitter: Splitter, overlap: int = 0) -> Iterator[Slice]:
+    """Every document of a string column, in order, in slices of bounded text.
+
+    A document longer than a slice comes alone, in pieces that overlap by ``overlap`` words.
+    """
     offsets, data = buffers(texts)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
         j = min(j, n)
-        yield Slice(data[offsets[i] : offsets[j]], np.arange(i, j), offsets[i : j + 1] - offsets[i], splitter)
+        if offsets[j] - offsets[i] > SLICE_BYTES:
+            yield from _pieces(data[offsets[i] : offsets[j]], i, splitter, overlap)
+        else:
+            yield Slice(data[offsets[i] : offsets[j]], np.arange(i, j), offsets[i : j + 1] - offsets[i], splitter)
         i = j
 
 
+def _pieces(data: np.ndarray, row: int, splitter: Splitter, overlap: int) -> Iterator[Slice]:
+    begin = upto = base = skip = 0
+    while True:
+        end = min(upto + SLICE_BYTES, len(data))
+        while end < len(data) and (splitter.most is None or end - upto < splitter.most):  # on to the end of a word
+            ahead = np.flatnonzero(~splitter.is_word[data[end : end + SLICE_BYTES]])
+            if len(ahead):
+                end += int(ahead[0])
+                break
+            end = min(end + SLICE_BYTES, len(data))
+        s = Slice(data[begin:end], np.array([row]), np.array([0, end - begin]), splitter, base, skip, begin, end < len(data), True)
+        yield s
+        if not s.more:
+            return
+        n = len(s.start)
+        skip = min(overlap, n)
+        base += n - skip
+        begin, upto = begin + int(s.start[n - skip]) if skip else end, end
+
+
 def minimiser_positions(hashes: np.ndarray, whole: np.ndarray, window: int) -> np.ndarray:
     """Places of the smallest hash (the first, if equal) of every full window of ``window`` runs.
 
