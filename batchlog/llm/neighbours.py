@@ -1,25 +1,25 @@
 """Nearest neighbours by a block matrix join.
 
-Queries come in blocks of at most ``block`` vectors, a size that bounds what is
-broadcast; each block is held against every candidate in a scan, whose result is
-written before the next block is collected.  Within a block queries are grouped
-by the length of their vectors.  A tile of the
-product is computed on int8 vectors.  With r the length of what rounding took
-from a unit vector, the cosine differs from the tile's value by at most
-r_a + r_b * |b'|, so pairs whose upper bound stays below a query's k-th best
-lower bound are dropped; the rest are recomputed in double precision and kept
-in one heap per query, which are merged at the end.
-
-Of equal candidates within a batch at most k rows of each id are kept, and of
-those the 2k of smallest id: at most k of them are a query's own, so its k
-smallest others are among them.
+Queries and candidates are dealt to blocks of bounded size, both as tables, and
+each pair of blocks (of vectors of one length) meets in a task: it holds the
+queries, and streams the candidates.  A tile of the product is computed on int8
+vectors.  With r the length of what rounding took from a unit vector, the cosine
+differs from the tile's value by at most r_a + r_b * |b'|, so pairs whose upper
+bound stays below a query's k-th best lower bound are dropped; the rest are
+recomputed in double precision and kept in one heap per query.  The heaps of all
+tasks, k rows each at most, are merged at the end.
+
+Rows that agree in id and vector are counted before they are dealt, so no
+frequent id or row makes a block large.  Of equal candidates within a batch at
+most k rows of each id are kept, and of those the 2k of smallest id: at most k
+of them are a query's own, so its k smallest others are among them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, and null ids neither; a query meets the candidates of
 its own vector's length; equal scores go to the smaller id; repeated rows are candidates each
-(a query's own id is never returned, and a repeated query id is one query);
-with fewer candidates than k all are returned; an empty table gives no rows;
-other columns are ignored.
+(a query's own id is never returned, and a repeated query id is one query, with
+the least of its vectors); with fewer candidates than k all are returned; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,19 +39,15 @@ TILE = 2048
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part, as doubles."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """(vec_id, v) of the vectors that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(fine & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long"), v.alias("v"))
+    return embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(fine & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
 
 
-def _matrix(ids: pa.Array, lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(lists.offsets.to_numpy())
-    ok = sizes == width
-    if not ok.all():
-        mask = pa.array(ok)
-        ids, lists = ids.filter(mask), lists.filter(mask)
-    return ids.to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length, in double precision."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1)
 
 
 class Quantised:
@@ -99,14 +95,6 @@ def fewer_copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[own], x[own]
 
 
-def _by_length(own: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Queries (ids, vectors) for each length of vector."""
-    if not own.num_rows:
-        return []
-    ids, lists = own["vec_id"].combine_chunks(), own["v"].combine_chunks()
-    return [_matrix(ids, lists, int(w)) for w in np.unique(np.diff(lists.offsets.to_numpy()))]
-
-
 class Block:
     """Queries of one length, with a heap of their best candidates so far."""
 
@@ -115,11 +103,8 @@ class Block:
         self.best = [[] for _ in ids]  # heaps of (score, -id)
         self.floor = np.full(len(ids), -np.inf)
 
-    def meet(self, ids: pa.Array, lists: pa.Array) -> None:
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
         q_ids, q, k, qq, best, floor = self.ids, self.q, self.k, self.qq, self.best, self.floor
-        ids, x = _matrix(ids, lists, q.shape[1])
-        if not len(ids):
-            return
         ids, x = fewer_copies(ids, x, k)
         for at in range(0, len(ids), TILE):
             c_ids, c = ids[at : at + TILE], x[at : at + TILE]
@@ -148,36 +133,59 @@ class Block:
                         floor[lo + row] = best[lo + row][0][0]
 
 
-def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_384) -> DataFrame:
-    """The k nearest of each query (ids divisible by ``every``): query_id, rank, vec_id, score."""
+def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 16_384, candidates: int = 131_072) -> DataFrame:
+    """The k nearest of each query (ids divisible by ``every``): query_id, rank, vec_id, score.
+
+    Blocks hold about ``block`` queries and ``candidates`` candidates, fewer
+    where that would leave cores idle.  Larger ones are copied less: a vector is
+    sent to as many tasks as the other side has blocks.
+    """
     spark = embeddings.sparkSession
     small_batches(spark)
-    vectors = usable(embeddings)
-    queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    # Blocks of ids: hashing deals them evenly, so a block holds about ``block`` queries.
-    n_blocks = -(-queries.count() // block)
+    own = usable(embeddings).groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    vectors = written(own.withColumn("width", F.size("v")), "vectors")
+    queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, n_queries = vectors.count(), queries.count()
+    # Hashing deals rows evenly.
+    q_blocks = max(1, -(-n_queries // block))
+    c_blocks = max(1, -(-n // candidates), min(4 * spark.sparkContext.defaultParallelism, n // 1024))
+    side = lambda df, i, q, c: df.select(F.size("v").alias("width"), q.alias("q"), c.alias("c"), F.lit(i).alias("side"), "vec_id", "copies", "v")
+    every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = side(queries.withColumn("copies", F.lit(1)), 0, F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"), every_block(c_blocks))
+    right = side(vectors, 1, every_block(q_blocks), F.pmod(F.xxhash64("vec_id", "v"), F.lit(c_blocks)).cast("int"))
+
+    def found(b: Block) -> Iterator[pa.RecordBatch]:
+        rows = [(int(b.ids[i]), -v, s) for i, heap in enumerate(b.best) for s, v in heap]
+        for at in range(0, len(rows), 65_536):
+            cols = list(zip(*rows[at : at + 65_536], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, held = None, None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                ids, x = part.column(4).to_numpy(), _matrix(part.column(6))
+                if key != tuple(keys[lo, :3]):
+                    if own is not None:
+                        yield from found(own)
+                    key, own, held = tuple(keys[lo, :3]), None, []
+                if keys[lo, 3] == 0:
+                    held.append((ids, x))
+                    continue
+                if held:
+                    own, held = Block(np.concatenate([i for i, _ in held]), np.concatenate([q for _, q in held]), k), []
+                if own is not None:
+                    copies = part.column(5).to_numpy()
+                    own.meet(np.repeat(ids, copies), np.repeat(x, copies, axis=0))
+        if own is not None:
+            yield from found(own)
+
+    dealt = left.unionByName(right).repartition("width", "q", "c").sortWithinPartitions("width", "q", "c", "side")
+    # Each task gives at most k rows per query, so a query's merge is small.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for b in range(max(1, n_blocks)):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_blocks))) == b).dropDuplicates(["vec_id"]).orderBy("vec_id").toArrow()
-        shared = spark.sparkContext.broadcast(_by_length(own))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = [Block(q_ids, q, k) for q_ids, q in shared.value]
-            if not groups:
-                return
-            for batch in batches:
-                for g in groups:
-                    g.meet(batch.column(0), batch.column(1))
-            for g in groups:
-                rows = [(int(g.ids[i]), -v, s) for i, heap in enumerate(g.best) for s, v in heap]
-                for at in range(0, len(rows), 65_536):
-                    cols = list(zip(*rows[at : at + 65_536], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-        # Each task gives at most k rows per query, so a query's merge is small.
-        found = vectors.mapInArrow(scan, SCHEMA).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        found = written(found.select("query_id", "rank", "vec_id", "score"), "neighbours")
-        shared.destroy()
-        out = found if out is None else out.unionByName(found)
-    return out
+    return dealt.mapInArrow(run, SCHEMA).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
