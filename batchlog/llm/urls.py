@@ -6,7 +6,8 @@ association rules decide: FP-growth mines combinations of url tokens that go
 with bad labels; rules below a support or confidence are pruned; a url with all
 tokens of a rule left is blocked.  Only minimal rules are kept, as a rule whose
 tokens hold those of another blocks no further url; the rule reported is the
-most confident of them.  Mined rules are found by an inverted index on their
+most confident of them.  Tokens that always occur together are one, so that a
+site's many common tokens do not multiply rules.  Mined rules are found by an inverted index on their
 rarest token and then verified in full.
 
 Only DataFrame functions and Spark ML run here, no Python on executors.
@@ -79,21 +80,40 @@ def tokens(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_count: int) -> DataFrame:
-    """Association rules (tokens, support, confidence) that conclude a bad label.
+    """Association rules (tokens, parts, support, confidence) that conclude a bad label.
 
     ``labels`` has (page_id, bad); all labelled pages are used.  A rule needs
-    the share ``min_support`` and the number ``min_count`` of them behind it.
-    All such rules that are minimal are kept.
+    the share ``min_support`` and the number ``min_count`` of them, all bad,
+    behind it.  All such rules that are minimal are kept.
+
+    Mining sees only what a minimal rule of several tokens can hold, so that its
+    itemsets stay few: tokens that are frequent among bad pages, are no rule by
+    themselves, and of tokens that occur in exactly the same labelled pages one;
+    ``parts`` has for each token of a rule all that stand for it.
     """
+    none = "tokens array<string>, parts array<array<string>>, support double, confidence double"
     bad = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", "url").filter("url is not null").join(bad, "page_id")
-    items = rows.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    support = max(min_support, min_count / max(items.count(), 1))
-    if support > 1:  # fewer labelled pages than a rule needs
-        return pages.sparkSession.createDataFrame([], "tokens array<string>, support double, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    items = written(rows.select(F.monotonically_increasing_id().alias("row"), "bad", tokens(F.col("url")).alias("own")), "url-items")
+    total = items.count()
+    least = max(min_support * total, min_count)
+    if least > total:  # fewer labelled pages than a rule needs
+        return pages.sparkSession.createDataFrame([], none)
+    each = items.select("row", F.col("bad").cast("int").alias("bad"), F.explode("own").alias("token"))
+    mark = lambda seed: F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(20,0)")).alias(f"mark{seed}")
+    frequent = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"), mark(1), mark(2)).filter(F.col("n_bad") >= least)
+    # Frequent tokens are few: tokens of a url divided by min_support at most.
+    alike = written(frequent.groupBy("n", "n_bad", "mark1", "mark2").agg(F.array_sort(F.collect_set("token")).alias("part")).select(F.col("part")[0].alias("token"), "part", "n_bad", (F.col("n_bad") / F.col("n")).alias("confidence")), "url-tokens")
+    alone = alike.filter(F.col("confidence") >= min_confidence).select(F.array("token").alias("tokens"), F.array("part").alias("parts"), (F.col("n_bad") / total).alias("support"), "confidence")
+    others = alike.filter(F.col("confidence") < min_confidence)
+    standing = each.join(others.select(F.col("token").alias("named"), F.explode("part").alias("token")), "token").groupBy("row").agg(F.collect_set("named").alias("named"))
+    label = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = items.join(standing, "row", "left").select(F.concat(F.coalesce("named", F.array().cast("array<string>")), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
-    return minimal(rules)
+    several = minimal(rules)
+    parts = several.select("tokens", F.explode("tokens").alias("token")).join(others.select("token", "part"), "token").groupBy("tokens").agg(F.collect_list("part").alias("parts"))
+    return alone.unionByName(several.join(parts, "tokens").select("tokens", "parts", "support", "confidence"))
 
 
 def minimal(rules: DataFrame) -> DataFrame:
@@ -107,7 +127,7 @@ def minimal(rules: DataFrame) -> DataFrame:
         own = left.filter(F.size("tokens") == least)
         out = own if out is None else out.unionByName(own)
         longer = left.filter(F.size("tokens") > least)
-        index = inverted(own).select(F.col("tokens").alias("part"), "token")
+        index = inverted(own.select("tokens")).select(F.col("tokens").alias("part"), "token")
         holds = longer.withColumn("token", F.explode("tokens")).join(index, "token").filter(F.forall("part", lambda t: F.array_contains("tokens", t)))
         left = written(longer.join(holds.select("tokens").distinct(), "tokens", "left_anti"), "rules")
     return left if out is None else out
@@ -115,9 +135,10 @@ def minimal(rules: DataFrame) -> DataFrame:
 
 def inverted(rules: DataFrame) -> DataFrame:
     """Each rule under one of its tokens: that which the fewest rules share."""
-    each = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    each = rules.select("*", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("n"))
-    return each.join(shared, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    chosen = each.join(shared, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return rules.join(chosen, "tokens")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 20) -> DataFrame:
@@ -126,11 +147,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     base = base.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     # The number of rules has no bound, so the index is not broadcast by force; it is written, so that Spark knows its size.
-    index = written(inverted(mine(pages, labels, min_support, min_confidence, min_count)), "rules-index")
+    index = inverted(mine(pages, labels, min_support, min_confidence, min_count))
+    # Under all tokens that stand for the chosen one.
+    index = written(index.withColumn("token", F.explode(F.filter("parts", lambda p: F.array_contains(p, F.col("token")))[0])), "rules-index")
     # A mined verdict depends on the url alone, so each distinct url is matched once.
     urls = base.filter(F.col("rule").isNull() & F.col("url").isNotNull()).select("url").distinct().withColumn("own", tokens(F.col("url")))
     matched = splittable(
-        urls.withColumn("token", F.explode("own")).join(index, "token").filter(F.forall("tokens", lambda t: F.array_contains("own", t)))
+        urls.withColumn("token", F.explode("own")).join(index, "token").filter(F.forall("parts", lambda p: F.arrays_overlap(p, "own")))
         .groupBy("url").agg(F.max_by(F.array_join("tokens", " "), F.struct("confidence", "tokens")).alias("mined")),
         "urls-matched",
     )
