@@ -3,7 +3,8 @@
 Toxic documents go; of near duplicates the smallest id stays; passages that
 came earlier are cut; documents contaminated by the benchmark go; what is left
 is packed into sequences.  Each stage's result is written to the shared folder
-and read again, so a lost executor costs one stage's tasks at most.
+and read again, so a lost executor costs one stage's tasks at most; the tables
+a stage makes for itself are removed when its result is written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchlog.llm import decontaminate, minhash, packing, suffixes, toxicity
-from batchlog.llm.shared import written
+from batchlog.llm.shared import cleared, new_path
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which nothing is left go; n_chars follows the text."""
-    cut = suffixes.remove_passages(docs)
-    left = cut.filter("removal.n_removed = 0 or removal.n_removed < removal.n_words")
+    # A name that no column has.
+    info = "removal" + "_" * max(map(len, docs.columns))
+    cut = suffixes.remove_passages(docs, into=info)
+    left = cut.filter(f"{info}.n_removed = 0 or {info}.n_removed < {info}.n_words")
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("removal.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", F.when(F.col(f"{info}.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)
 
 
@@ -55,5 +58,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with cleared(spark):  # of a stage its result is left
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
