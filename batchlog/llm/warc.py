@@ -81,8 +81,7 @@ def page_record(own: str, date: str, page_id: int | None, url: str | None, paylo
     if original is not None:
         headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{original['record_id']}>"), ("WARC-Refers-To-Target-URI", target(original["url"])), ("WARC-Refers-To-Date", original["date"]), ("X-Refers-To-Page", original["page_id"])]
         payload = b""
-    block = http + payload
-    return record([*headers, ("WARC-Block-Digest", f"sha1:{payload_digest(block)}")], block)
+    return record(headers, http + payload)
 
 
 def members(raw: bytes, level: int) -> Iterator[bytes]:

@@ -59,8 +59,27 @@ def test_odd_tables(spark, folder):
     odd = odd.withColumn("removal", F.lit("clash")).withColumn("_doc_id", F.lit(1)).withColumn("toxic", F.lit(2))
     for docs in (odd, odd.limit(0)):
         for name, stage in pipeline.STAGES:
-            out = stage(spark, docs.drop("removal") if name == "suffix_dedup" else docs, path)
+            out = stage(spark, docs, path)
             assert out.count() >= (0 if docs is not odd else 1)
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert out.filter("removal <> 'clash'").count() == 0
+
+
+def test_tables_of_stages_are_removed(spark, folder, tmp_path):
+    import os
+
+    from batchlog.llm.shared import cleared, written
+
+    _, path = folder
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = pipeline.run(spark, path)
+    assert {n.split("-")[1] for n in set(os.listdir(shared)) - before} == {name.split("-")[0] for name, _ in pipeline.STAGES}
+    assert out.count() > 0
+    with cleared(spark):
+        assert written(spark.range(3), "x").count() == 3
+    assert len(set(os.listdir(shared)) - before) == len(pipeline.STAGES)
 
 
 def test_registered():
