@@ -120,6 +120,6 @@ def match(groups: Iterator[tuple], length: int) -> Iterator[tuple[int, int, int]
             origin.append((doc, begin))
 
 
-def remove_substrings(documents: DataFrame, length: int = 20, grain: int = 6, limit: int = 1000, into: str = "removal") -> DataFrame:
+def remove_substrings(documents: DataFrame, length: int = 20, grain: int = 6, limit: int = 2000, into: str = "removal") -> DataFrame:
     """Documents without the words of windows that came earlier; see ``passages.cut``."""
     return passages.cut(documents, length, grain, match, limit, into)

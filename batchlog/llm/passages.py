@@ -6,7 +6,7 @@ id, or earlier in the same one) is removed; windows are judged on the input.
 
 1. Anchors.  Runs of ``grain`` words are hashed, and the smallest hash of each
    window is its anchor, so equal windows have equal anchors at equal places.
-   With an anchor go a 128-bit digest of its context (all words that a window
+   With an anchor go a digest of its context (all words that a window
    holding it can reach) and its place.  Texts are split and hashed once; the
    anchors are written.
 2. Anchors that occur once are dropped (an aggregate, then a join whose other
@@ -23,8 +23,9 @@ id, or earlier in the same one) is removed; windows are judged on the input.
    for a task.
 5. Every document gathers its removed places and is cut.
 
-Nothing is removed on a rolling hash alone: contexts are equal by digests of
-their bytes, and matchers compare words.  Texts of any length are read in
+Nothing is removed on a rolling hash: contexts of an anchor are equal by 64 bits
+of a BLAKE2b digest of their bytes (128 where a large group is said to agree in
+all), and matchers compare words.  Texts of any length are read in
 pieces, so a task's memory is bounded but for one text and its result.
 
 Ids of documents should be unique.  Rows that agree in id and text are one
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import textops
-from .shared import small_batches, splittable, written
+from .shared import discard, small_batches, splittable, written
 
 PLACE_BITS = 40
 _PLACE = (1 << PLACE_BITS) - 1
@@ -64,12 +65,6 @@ def keyed(documents: DataFrame) -> DataFrame:
     )
 
 
-def _longs(digests: list[bytes]) -> list[pa.Array]:
-    """The halves of 128-bit digests."""
-    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
-
-
 def anchors_of(texts: pa.Array, length: int, grain: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """Of every anchor: its text's row, its hash, its word's number, and the digest of its context."""
     margin, done = length - grain, 0
@@ -88,21 +83,22 @@ def anchors_of(texts: pa.Array, length: int, grain: int) -> Iterator[tuple[np.nd
         lo, hi = np.maximum(at - margin, s.first[own]), np.minimum(at + length, s.first[own + 1])
         text, begin, end = s.text, s.at[lo].tolist(), (s.at[hi] - 1).tolist()
         lefts = (at - lo).astype(np.uint16).tolist()
-        ctx = [textops.digest(b"%d " % left + text[a:b]) for left, a, b in zip(lefts, begin, end, strict=True)]
+        # The anchor's place in the context goes into its digest.
+        ctx = [textops.digest(text[a:b], 8, left) for left, a, b in zip(lefts, begin, end, strict=True)]
         yield s.rows[own], h[at], s.base + at - s.first[own], ctx
 
 
 def anchors(documents: DataFrame, length: int, grain: int) -> DataFrame:
-    """(h, c1, c2, doc, place) of every anchor of every document."""
+    """(h, ctx, doc, place) of every anchor of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for row, h, place, ctx in anchors_of(batch.column(2), length, grain):
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *_longs(ctx), pa.array(doc[row]), pa.array(tag[row] + place)], ["h", "c1", "c2", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(b"".join(ctx), "<i8")), pa.array(doc[row]), pa.array(tag[row] + place)], ["h", "ctx", "doc", "place"])
 
-    return keyed(documents).select("doc", "tag", "text").mapInArrow(run, "h long, c1 long, c2 long, doc long, place long")
+    return keyed(documents).select("doc", "tag", "text").mapInArrow(run, "h long, ctx long, doc long, place long")
 
 
 def contexts(joined: DataFrame, length: int, grain: int) -> DataFrame:
@@ -163,7 +159,7 @@ def halves(rows: DataFrame, length: int, grain: int) -> DataFrame:
                         begin, end = at - a, at + grain + margin - b
                         if a > b or begin < first or end > last:
                             continue
-                        keys.append(textops.digest(b"%d " % a + s.span(begin, end))[:8])
+                        keys.append(textops.digest(s.span(begin, end), 8, a))
                         begin, end = at - b, at + length - a
                         fulls.append(textops.digest(s.span(begin, end)) if begin >= first and end <= last else None)
                         own.append(row)
@@ -227,8 +223,9 @@ def removed(documents: DataFrame, length: int, grain: int, matcher: Matcher, lim
     """Documents with keys, and by document what to remove: (doc, tag, marks), marks being (kind, place, size)."""
     found = written(anchors(documents, length, grain), "anchors")
     repeated = splittable(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-repeated")
-    occurrences = written(found.join(repeated, "h", "left_semi"), "anchors")
-    firsts = occurrences.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc", "place")).alias("first")).select("h", "first.doc", "first.place")
+    occurrences = written(found.join(repeated, "h", "left_semi"), "anchors-again")
+    discard(found)
+    firsts = occurrences.groupBy("h", "ctx").agg(F.min(F.struct("doc", "place")).alias("first")).select("h", "first.doc", "first.place")
     tag = F.shiftleft(F.shiftright("place", PLACE_BITS), PLACE_BITS)
     # Contexts of an anchor; one row per anchor on the other side of the join.
     many = splittable(firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "anchors-many")

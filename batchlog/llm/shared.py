@@ -52,6 +52,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that ``written`` made, once all that is made from it has been written, too."""
+    _delete(table.sparkSession, table._llm_path)
+    _made.remove(table._llm_path)
+
+
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that are made within, once what is read from them has been written elsewhere."""
@@ -60,8 +71,7 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _made[before:]:
-            own = spark._jvm.org.apache.hadoop.fs.Path(path)
-            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+            _delete(spark, path)
         del _made[before:]
 
 
@@ -79,4 +89,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out

@@ -86,6 +86,6 @@ def _sorted(block: list[tuple], length: int) -> Iterator[tuple[int, int, int]]:
         yield from zip(d[cut].tolist(), p[cut].tolist(), (p[ends[: len(cut)]] + length - p[cut]).tolist(), strict=True)
 
 
-def remove_passages(documents: DataFrame, length: int = 50, grain: int = 12, limit: int = 1000, into: str = "removal") -> DataFrame:
+def remove_passages(documents: DataFrame, length: int = 50, grain: int = 12, limit: int = 8000, into: str = "removal") -> DataFrame:
     """Documents without the words of windows of ``length`` words that came earlier; see ``passages.cut``."""
     return passages.cut(documents, length, grain, match, limit, into)

@@ -6,13 +6,13 @@ longer document is cut between words into pieces, each of which repeats the
 last ``overlap`` words of the one before, so memory is bounded by the slice
 and not by the text.
 
-Words are told apart by their bytes (Arrow's dictionary encoding), and a word's
-hash is the start of its BLAKE2b digest, so no choice of words makes two of them
-collide by construction.  Runs of words are hashed by joining hashes of halves
-with a mixing step, which has no algebraic structure to exploit either.  Hashes
-only find candidates; what is final rests on bytes or on 128-bit digests of
-them (``digest``).  They depend on nothing but the bytes, so all executors and
-all runs agree.
+Hashes only find candidates; what is final rests on bytes (``words`` and
+``codes`` tell words apart by them) or on digests of them (``digest``).  A
+word's hash mixes it in blocks of eight bytes, a long word's is the start of its
+BLAKE2b digest, and runs of words are hashed by joining hashes of halves with a
+mixing step: none of these is linear, so no pattern of letters or words makes
+them agree.  They depend on nothing but the bytes, so all executors and all
+runs agree.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ U64 = np.uint64
 SEED = 20240229
 
 _MASK = (1 << 64) - 1
-#: Hashes of short words that were met before, at most so many.
-_KNOWN: dict[bytes, bytes] = {}
-_KNOWN_MOST, _KNOWN_BYTES = 1 << 17, 48
+#: Longer words are hashed one at a time.
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [_MASK], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,23 +42,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def digest(raw: bytes) -> bytes:
-    """128 bits that stand for some bytes."""
-    return blake2b(raw, digest_size=16).digest()
+def digest(raw: bytes, size: int = 16, number: int = 0) -> bytes:
+    """A few bytes that stand for some bytes and a small number."""
+    return blake2b(raw, digest_size=size, salt=number.to_bytes(4, "little")).digest()
 
 
-def _hashed(word: bytes) -> bytes:
-    h = blake2b(word, digest_size=8).digest()
-    if len(word) <= _KNOWN_BYTES:
-        if len(_KNOWN) >= _KNOWN_MOST:
-            _KNOWN.clear()
-        _KNOWN[word] = h
+def _spelled(data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of stretches of bytes, eight at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    some = np.arange(len(size))
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            some = some[size[some] > at]
+        if not len(some):
+            break
+        block = blocks[begin[some] + at] & _MASKS[np.minimum(size[some] - at, 8)]
+        h[some] = mix(h[some] * U64(0xC2B2AE3D27D4EB4F) ^ block)
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        raw = [blake2b(data[a : a + n].tobytes(), digest_size=8, salt=bytes([seed])).digest() for a, n in zip(begin[long].tolist(), size[long].tolist(), strict=True)]
+        h[long] = np.frombuffer(b"".join(raw), "<u8")
     return h
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    known = _KNOWN.get
-    return np.frombuffer(b"".join([known(w) or _hashed(w) for w in words]), "<u8")
+WORD, BEGINNING = 1, 2
+
+
+def hashes_of(words: list[bytes], seed: int = WORD) -> np.ndarray:
+    """Hashes of words, or of beginnings of words, as slices give them."""
+    size = np.array([len(w) for w in words], np.int64)
+    return _spelled(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, seed)
 
 
 class Splitter:
@@ -156,7 +171,10 @@ class Slice:
         small = at[-1] < 1 << 31
         buffers = [None, pa.py_buffer(at.astype(np.int32) if small else at), pa.py_buffer(text)]
         own = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(at) - 1, buffers).dictionary_encode()
-        self._codes, self._words = own.indices.to_numpy(), own.dictionary.to_pylist()
+        self._codes, (_, ends, raw) = own.indices.to_numpy(), own.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int32 if small else np.int64)[: len(own.dictionary) + 1].tolist() if len(own.dictionary) else [0]
+        raw = raw.to_pybytes() if raw else b""
+        self._words = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     @property
     def codes(self) -> np.ndarray:
@@ -175,16 +193,13 @@ class Slice:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = hashes_of(self.words)[self.codes] if len(self.start) else np.zeros(0, U64)
+            self._hash = _spelled(self.data, self.start, self.end - self.start, WORD)
         return self._hash
 
     def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The words of more than ``size`` bytes, and hashes of their first ``size`` bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        short = hashes_of([w[:size] for w in self.words])
         long = np.flatnonzero(self.end - self.start > size)
-        return long, short[self.codes[long]]
+        return long, _spelled(self.data, self.start[long], np.full(len(long), size), BEGINNING)
 
     def runs(self, k: int) -> np.ndarray:
         """Hashes of all runs of k words of the slice (also across documents; see ``whole``)."""
@@ -288,16 +303,31 @@ def minimiser_positions(hashes: np.ndarray, whole: np.ndarray, window: int) -> n
     starts = np.flatnonzero(ok)
     if not len(starts):
         return np.zeros(0, np.int64)
-    # first place at or after the window's start with that hash: step through the few candidates
     chosen = np.zeros(n, bool)
-    at = starts.copy()
-    want = least[starts]
-    todo = np.arange(len(starts))
+    # Neighbouring windows with the same least value: from the first of them on, the next place with that value.
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) > 1) | (least[starts[1:]] != least[starts[:-1]])]))
+    first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
+    for _ in range(4):
+        at = _next(hashes, first, least[first], window)
+        chosen[at] = True
+        # Windows that begin beyond it have the value again further on.
+        on = at < last
+        first, last = at[on] + 1, last[on]
+        if not len(first):
+            return np.flatnonzero(chosen)
+    # What repeats so often is looked at window by window.
+    size = last - first + 1
+    each = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    chosen[_next(hashes, each, least[each], window)] = True
+    return np.flatnonzero(chosen)
+
+
+def _next(hashes: np.ndarray, begin: np.ndarray, want: np.ndarray, window: int) -> np.ndarray:
+    """The first place from each beginning on that has the wanted hash; it lies within the window."""
+    at, todo = begin.copy(), np.arange(len(begin))
     for _ in range(window):
-        hit = hashes[at[todo]] == want[todo]
-        chosen[at[todo[hit]]] = True
-        todo = todo[~hit]
+        todo = todo[hashes[at[todo]] != want[todo]]
         if not len(todo):
             break
         at[todo] += 1
-    return np.flatnonzero(chosen)
+    return at

@@ -147,7 +147,7 @@ def test_pieces_of_long_texts_give_what_whole_texts_give():
         gone = np.array([[3, 5], [40, 90], [95, 200]])
         return [(row, *passages.trimmed(parts, gone)) for row, parts in passages.documents_of(texts)]
 
-    model = toxicity.Model(np.sort(textops.hashes_of([b"w1 ", b"w2 ", b"a ", b"w100"])), np.array([1.0, -2.0, 0.5, 0.25]), np.array([1.0, 2.0]))
+    model = toxicity.Model(np.sort(np.concatenate([textops.hashes_of([b"w1", b"w2", b"a"]), textops.hashes_of([b"w100"], textops.BEGINNING)])), np.array([1.0, -2.0, 0.5, 0.25]), np.array([1.0, 2.0]))
     checks = [
         lambda: anchored(20, 6), lambda: anchored(50, 12), contaminated, trimmed, lambda: [(i, x.tolist()) for i, x in minhash.sets(texts)], lambda: np.round(quality.statistics(texts), 9).tolist(),
         lambda: np.round(toxicity.logits(texts, model), 9).tolist(), lambda: sorted((r, w, n) for x in toxicity.feature_counts(texts) for r, w, n in zip(*(y.tolist() for y in x), strict=True)),
@@ -603,9 +603,9 @@ def test_ordinal_fit_against_a_plain_one():
 
 def test_scores_against_a_plain_version(spark):
     docs = [(i, t) for i, t in corpus(7, 30)]
-    listed = [b"w1 ", b"w2 ", b"w30 ", b"w10", b"chang"]
     weights = {b"w1 ": 1.0, b"w2 ": -2.0, b"w30 ": 0.5, b"w10": 0.25, b"chang": 3.0}
-    h = textops.hashes_of(listed)
+    listed = [*weights]
+    h = np.array([textops.hashes_of([w.strip()], textops.WORD if w.endswith(b" ") else textops.BEGINNING)[0] for w in listed])
     by = np.argsort(h)
     m = toxicity.Model(h[by], np.array([weights[listed[i]] for i in by]), np.array([0.5, 2.0]))
     for r in toxicity.score(frame(spark, docs), m).collect():
