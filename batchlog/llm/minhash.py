@@ -16,11 +16,10 @@ words as one).  Documents are linked where intersection / union reaches
    those that collide by chance, lies far below the threshold is dropped; the
    others are verified on their full sets.
 5. Linked pairs form components.  Large buckets that still hold several
-   components get another centre, a few times, which joins most of what belongs
-   together.  What is left is searched block by block within tasks: first by
-   registers alone for members that may be linked with another component, then
-   these by their full sets.  So no link is lost to the choice of pairs, and no
-   pairs are written out but those with a centre.
+   components may get other centres (``rounds``), and are then searched block by
+   block within tasks: first by registers alone for members that may be linked
+   with another component, then these by their full sets.  So no link is lost to
+   the choice of pairs, and no pairs are written out but those with a centre.
 
 A shingle is told by 64 bits made from digests of its words, a set by a 128-bit
 digest; two sets of 10,000 shingles share one by chance once in 10**11 pairs.
@@ -282,8 +281,13 @@ def across(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
     return _meet(members, block, "a long, b long", found)
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least id of its class), kept."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, rounds: int = 0) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least id of its class), kept.
+
+    ``rounds`` is how often mixed buckets get another centre before they are
+    searched; it changes no result.  A round costs some twenty small jobs, and
+    pays where buckets of very many members are mixed.
+    """
     small_batches(documents.sparkSession)
     docs = written(described(documents), "sketches")
     some = docs.filter("n_shingles > 0 and doc_id is not null")

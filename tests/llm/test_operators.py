@@ -357,7 +357,7 @@ def test_frequent_anchor_is_bisected(spark):
 # 4: near duplicates
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates(spark, seed):
     docs = corpus(seed, 120)
     df = frame(spark, docs).withColumn("component_id", F.lit("clash")).withColumn("id", F.lit(1))
@@ -375,6 +375,7 @@ def test_near_duplicates_of_large_buckets(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
         docs.append((i, " ".join(w)))
     assert rows(minhash.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(docs), key=repr)
+    assert rows(minhash.near_duplicates(frame(spark, docs), rounds=2), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(docs), key=repr)
     kept = minhash.deduplicated(frame(spark, docs))
     assert rows(kept, "doc_id") == sorted(((r[0],) for r in brute.near(docs) if r[3]), key=repr)
 
